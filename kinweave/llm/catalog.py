@@ -1,10 +1,14 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import op01_token_files, op05_token_counts, op07_bpe
+from . import op01_token_files, op02_repetition, op04_audio, op05_token_counts, op07_bpe, op09_licenses, op10_min_max
 
 QUERIES = {
     "op1_token_files": op01_token_files.query,
+    "op2_repetition": op02_repetition.query,
+    "op4_audio_fingerprints": op04_audio.query,
     "op5_token_counts": op05_token_counts.query,
     "op7_byte_bpe": op07_bpe.query,
+    "op9_license_scan": op09_licenses.query,
+    "op10_min_max_dedup": op10_min_max.query,
 }
 ORACLES = {}

@@ -22,7 +22,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 #: Longer segments are hashed by blake2b, shorter ones eight bytes at a time.
-LONG = 64
+LONG = 1024
 
 
 class Chunk:
