@@ -1,8 +1,47 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: four stages over documents, each an operator of kinweave.llm.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns as
+Parquet in the shared folder and reads it again for the next one. All stages but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kinweave.llm import op02_repetition, op06_mixing, op07_bpe, op10_min_max, store
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules keep."""
+    return op02_repetition.filter_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return op10_min_max.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by target weights; small leaves come again in later epochs."""
+    return op06_mixing.mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids' and decoded bytes' digests of each document."""
+    import public_tokenizers
+
+    return op07_bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
+
+#: SQL expresses neither the tokenizer nor groups of near copies; tests/llm hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
