@@ -198,7 +198,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
 
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in ragged.chunks(batch.column(1)):
+            for c in ragged.chunks(batch.column(1), min(4 << 20, shard_tokens)):
                 flat, n = encode_chunk(c, tokenizer, end_id)
                 doc_ids.append(own[c.lo : c.hi])
                 counts.append(n)

@@ -42,7 +42,7 @@ class RankQueue:
         self.buckets: dict[int, list[np.ndarray]] = {}
 
     def push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
-        """Any number of entries, of any ranks."""
+        """Any number of entries, of any ranks, positions in order."""
         order = np.argsort(ranks, kind="stable")
         ranks, positions = ranks[order], positions[order]
         cut = np.flatnonzero(np.diff(ranks, prepend=-1))
