@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     stars = store.keep(members.join(hubs, "band").where("hub <> node").select("hub", "node").distinct(), "pairs")
     wanted = stars.select("node").union(stars.select(F.col("hub").alias("node"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    texts = store.keep(texts.join(wanted, "node").dropDuplicates(["node", "text"]), "texts")
+    # by a merge join at every size: what must be read of the texts doesn't depend on whether the nodes wanted fit in a broadcast
+    texts = store.keep(texts.join(wanted.hint("merge"), "node").dropDuplicates(["node", "text"]), "texts")
     linked = store.keep(verify(stars, texts, size, percent), "links")
     # rows that share a doc_id
     own = whole.select("doc_id", "cls").join(nodes.select("cls", "node"), "cls")
