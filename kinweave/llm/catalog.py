@@ -25,4 +25,4 @@ QUERIES = {
     "op9_license_scan": op09_licenses.query,
     "op10_min_max_dedup": op10_min_max.query,
 }
-ORACLES = {"op3_chat_format": op03_chat.ORACLE, "op6_mixing": op06_mixing.oracle()}
+ORACLES = {"op2_repetition": op02_repetition.ORACLE, "op3_chat_format": op03_chat.ORACLE, "op6_mixing": op06_mixing.oracle(), "op10_min_max_dedup": op10_min_max.ORACLE}

@@ -33,7 +33,7 @@ BASE_PERCENT = 30
 COVERAGE = {5: 40, 8: 35, 10: 30}
 #: Percent of word characters that may lie in lines equal to an earlier line.
 LINE_PERCENT = 30
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, cover_percent array<double>, line_percent double"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, " + ", ".join(f"cover_{n} double" for n in COVERAGE) + ", line_percent double"
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _SYMBOL = np.zeros(256, bool)
@@ -101,18 +101,7 @@ def measure(c: ragged.Chunk) -> dict[str, np.ndarray]:
     percent = np.stack([100.0 * x / whole for x in cover], axis=1)
     line_percent = 100.0 * dup_chars / whole
     kept = ~base_failed & (percent <= np.array(list(COVERAGE.values()))).all(axis=1) & (line_percent <= LINE_PERCENT)
-    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat_words, "base_failed": base_failed, "kept": kept, "cover_percent": percent, "line_percent": line_percent}
-
-
-def _arrays(m: dict[str, np.ndarray]) -> list[pa.Array]:
-    width = len(COVERAGE)
-    out = []
-    for k, v in m.items():
-        if k == "cover_percent":
-            out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, width, dtype=np.int32)), pa.array(v.ravel())))
-        else:
-            out.append(pa.array(v))
-    return out
+    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat_words, "base_failed": base_failed, "kept": kept, **{f"cover_{n}": percent[:, i] for i, n in enumerate(COVERAGE)}, "line_percent": line_percent}
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,7 +111,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for c in ragged.chunks(batch.column(1)):
                 m = measure(c)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[c.lo : c.hi], *_arrays(m)], names=["doc_id", *m])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.lo : c.hi], *(pa.array(v) for v in m.values())], names=["doc_id", *m])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(report, "doc_id long, " + SCHEMA)
 
@@ -142,3 +131,32 @@ def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(store.documents(spark, sf_dir))
+
+
+def _cover_sql(n: int) -> str:
+    """Word characters of each text that n-grams found twice or more cover: a word is inside if such a gram starts up to n - 1 words before."""
+    return f"""
+c{n} AS (
+  SELECT doc_id, coalesce(sum(chars) FILTER (inside), 0) AS chars, count(*) FILTER (inside) AS words FROM (
+    SELECT doc_id, chars, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = 1 AS inside FROM (
+      SELECT doc_id, i, chars, CASE WHEN gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 THEN 1 ELSE 0 END AS twice FROM (
+        SELECT doc_id, i, length(w[i]) AS chars, CASE WHEN i + {n - 1} <= len(w) THEN array_to_string(w[i : i + {n - 1}], ' ') END AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)))) GROUP BY doc_id)"""
+
+
+#: DuckDB SQL for the rows of query(), where doc_id is unique.
+ORACLE = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+{",".join(_cover_sql(n) for n in COVERAGE)},
+lines AS (
+  SELECT doc_id, line, count(*) AS n, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line),
+dup AS (SELECT doc_id, sum(n - 1) AS n, sum((n - 1) * chars) AS chars FROM lines GROUP BY doc_id),
+m AS (
+  SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(c8.words, 0) AS n_repeat_words,
+    {", ".join(f"100.0::DOUBLE * coalesce(c{n}.chars, 0) / greatest(length(array_to_string(w, '')), 1) AS cover_{n}" for n in COVERAGE)}, 100.0::DOUBLE * coalesce(dup.chars, 0) / greatest(length(array_to_string(w, '')), 1) AS line_percent
+  FROM t LEFT JOIN dup USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in COVERAGE)})
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words) AND {" AND ".join(f"cover_{n} <= {p}" for n, p in COVERAGE.items())} AND line_percent <= {LINE_PERCENT} AS kept,
+  {", ".join(f"cover_{n}" for n in COVERAGE)}, line_percent
+FROM m
+"""

@@ -240,3 +240,18 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(store.documents(spark, sf_dir), size=3, percent=85)
+
+
+#: DuckDB SQL for the rows of query(), where doc_id is unique: all pairs that share a shingle, then reachability.
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS i FROM t)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), reach AS (SELECT doc_id, doc_id AS root FROM t UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.doc_id)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
+FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
