@@ -539,12 +539,12 @@ def label_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.bucket_labels(raw, functions).select("member", "address", "evidence", "seedable", "canonical_origin", "owner", "bucket")
 
 
-#: Pairs of customers and suppliers of one nation stand for decisions; customers are the candidates, nations' suppliers the cores.
+#: Customers' latest line items from suppliers stand for decisions; customers are the candidates, suppliers of a nation and a class of balance the cores.
 ATTACH = """
 dec AS (
   SELECT DISTINCT 'a' || o_custkey AS first, 'b' || l_suppkey AS second, CASE WHEN l_quantity > 45 THEN 'reject' WHEN l_quantity > 20 THEN 'match' WHEN l_quantity > 10 THEN 'unknown' ELSE 'abstain' END AS decision, CASE WHEN o_orderstatus = 'F' THEN 'candidate' ELSE 'on-demand' END AS source, l_quantity AS q
   FROM (SELECT o_custkey, o_orderstatus, l_suppkey, l_quantity, row_number() OVER (PARTITION BY o_custkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_quantity) AS r FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE r = 1),
-core AS (SELECT 'n' || s_nationkey AS family_id, 'b' || s_suppkey AS id FROM supplier),
+core AS (SELECT 'n' || s_nationkey || ':' || CAST(floor(s_acctbal / 2500) AS BIGINT) AS family_id, 'b' || s_suppkey AS id FROM supplier),
 cand AS (SELECT 'a' || c_custkey AS id FROM customer)
 """
 
@@ -555,7 +555,7 @@ def _attachment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     w = F.row_number().over(discovery.Window.partitionBy("o_custkey", "l_suppkey").orderBy(F.col("l_shipdate").desc(), "l_orderkey", "l_linenumber", "l_quantity"))
     q = F.col("l_quantity")
     dec = j.withColumn("r", w).where("r = 1").select(F.concat(F.lit("a"), "o_custkey").alias("first"), F.concat(F.lit("b"), "l_suppkey").alias("second"), F.when(q > 45, "reject").when(q > 20, "match").when(q > 10, "unknown").otherwise("abstain").alias("decision"), F.when(F.col("o_orderstatus") == "F", "candidate").otherwise("on-demand").alias("source"))
-    core = tables.read(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("family_id"), F.concat(F.lit("b"), "s_suppkey").alias("id"))
+    core = tables.read(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey", F.lit(":"), F.floor(F.col("s_acctbal") / 2500)).alias("family_id"), F.concat(F.lit("b"), "s_suppkey").alias("id"))
     cand = tables.read(spark, sf_dir, "customer").select(F.concat(F.lit("a"), "c_custkey").alias("id"))
     return dec, cand, core
 
