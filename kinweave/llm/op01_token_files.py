@@ -8,8 +8,8 @@ that no table of 64-bit offsets exists in the file or in memory. Shards are at m
 long (one document may exceed it), so that a reader's memory is bounded.
 
 Defined results: a null text is an empty document (its end id alone); empty tables give no shard and no
-row; repeated rows and equal doc_ids are documents of their own, in the order of their text; extra
-columns are ignored, and a column named like a result is of no effect.
+row; repeated rows and equal doc_ids are documents of their own, in the order of their text; rows without a
+doc_id have no place in that order and are not written; extra columns are ignored, and a column named like a result is of no effect.
 """
 
 from __future__ import annotations
