@@ -5,8 +5,8 @@ column of a table in the shared folder. From the column read back, frames are tr
 peaks picked, and each peak paired with the next few: (frequency, frequency, distance in frames) is a
 fingerprint and the frame its time code; both are stored as arrays in time order.
 
-Defined results: a null or empty text is 64 zero bytes; equal texts have equal media and features; a
-WAV with fewer samples than a frame is one frame, padded with silence; nulls in doc_id and repeated rows
+Defined results: a null or empty text is 64 zero bytes; equal texts have equal media and features; the
+last frame is padded with silence; nulls in doc_id and repeated rows
 stay as they are; empty tables give no row; extra columns are ignored.
 """
 
@@ -60,8 +60,7 @@ def from_wav(media: bytes) -> bytes:
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(frame, frequency bin) of the spectral peaks, in time order, by falling strength within a frame."""
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    if len(x) < FRAME:
-        x = np.concatenate((x, np.zeros(FRAME - len(x), np.float32)))
+    x = np.concatenate((x, np.zeros(max(FRAME - len(x), (FRAME - len(x)) % HOP), np.float32)))  # whole frames to the last sample
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     times, bins = [], []
     for lo in range(0, len(frames), BLOCK):
