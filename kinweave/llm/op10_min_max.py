@@ -10,8 +10,8 @@ start. What follows is linear in nodes and bands but for the last step:
    in one hub, whatever their number, and never as all pairs.
 2. Links are contracted to components by alternating large and small stars.
 3. Nodes around one hub that are still in different components are compared with each other on full
-   sets, in blocks of bounded size spread over the cluster; a block pair returns one link for each two
-   components that it joins. So every pair that shares a band is settled: no cap, no sample.
+   sets, in blocks of bounded size spread over the cluster, large components in blocks of their own,
+   which don't meet; a block pair returns one link for each two components that it joins. So every pair that shares a band is settled: no cap, no sample.
 
 The bands are chosen for the threshold so that a pair at the threshold shares none with a probability
 below 1e-8. Similarity is exact: 100 * intersection >= percent * union of sets of 64-bit shingle hashes.
@@ -40,6 +40,8 @@ PERMUTATIONS = 120
 MISS = 1e-8
 #: Nodes of a block, in expectation.
 BLOCK = 128
+#: The pile of the components that have few nodes in a group; less than any node.
+MIXED = -(1 << 63)
 #: Cells of a dense block comparison.
 DENSE = 8_000_000
 
@@ -131,25 +133,37 @@ def components(edges: DataFrame) -> DataFrame:
 def settle(groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between different components among the nodes of each group. groups: hub, node, component.
 
-    A group's nodes fall into blocks of bounded size; each two blocks are a cell of their own, which holds
-    the two blocks' texts and no more.
+    A component with many nodes in a group is a pile of its own, the others share a pile. Piles fall into
+    blocks of bounded size, and two blocks are a cell, which holds the two blocks' texts and no more.
+    Nodes of one large component never meet, so a group in which thousands of linked copies stand beside a
+    few other texts makes as many cells as the copies have blocks, not their square.
     """
-    sizes = groups.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("n"))
-    placed = groups.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = cells.select("hub", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "component")
-    rows = cells.join(texts, "node").select("hub", "a", "b", "own", "node", "component", "text")
+    parts = groups.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    pile = F.when(F.col("n") >= BLOCK // 2, F.col("component"))
+    parts = parts.select("hub", "component", "n", F.coalesce(pile, F.lit(MIXED)).alias("pile"))
+    piles = store.keep(parts.groupBy("hub", "pile").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.lit(1)).cast("int").alias("n")), "piles")
+    placed = groups.join(parts.select("hub", "component", "pile"), ["hub", "component"]).join(piles, ["hub", "pile"])
+    placed = placed.select("hub", "pile", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("block"), "node", "component")
+    a = piles.select("hub", F.col("pile").alias("a_pile"), F.col("n").alias("a_n"))
+    b = piles.select("hub", F.col("pile").alias("b_pile"), F.col("n").alias("b_n"))
+    meet = a.join(b, "hub").where((F.col("a_pile") < F.col("b_pile")) | ((F.col("a_pile") == F.col("b_pile")) & (F.col("a_pile") == MIXED)))
+    meet = meet.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("a_n") - 1)))
+    least = F.when(F.col("a_pile") == F.col("b_pile"), F.col("a")).otherwise(0)
+    cells = meet.withColumn("b", F.explode(F.sequence(least, F.col("b_n") - 1))).select("hub", "a_pile", "a", "b_pile", "b")
+    cell = ["hub", "a_pile", "a", "b_pile", "b"]
+    left = cells.join(placed.withColumnsRenamed({"pile": "a_pile", "block": "a"}), ["hub", "a_pile", "a"]).select(*cell, F.lit(True).alias("first"), "node", "component")
+    other = cells.where("a_pile <> b_pile OR a <> b").join(placed.withColumnsRenamed({"pile": "b_pile", "block": "b"}), ["hub", "b_pile", "b"])
+    rows = left.union(other.select(*cell, F.lit(False), "node", "component")).join(texts, "node").select(*cell, "first", "node", "component", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, component, own = (table.column(k).to_numpy() for k in ("node", "component", "own"))
+        node, component, first = (table.column(k).to_numpy() for k in ("node", "component", "first"))
         out = []
         if len(node) > 1 and (component != component[0]).any():
             sets = [s for c in ragged.chunks(table.column("text"), table=ragged.LOWER) for s in shingles.sets(c, size)]
             n = np.array([len(s) for s in sets])
-            first = own == table.column("a")[0].as_py()
             rows_a = np.flatnonzero(first)
-            rows_b = rows_a if table.column("a")[0].as_py() == table.column("b")[0].as_py() else np.flatnonzero(~first)
+            rows_b = rows_a if first.all() else np.flatnonzero(~first)
             root: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -172,7 +186,7 @@ def settle(groups: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                             out.append((int(node[some[i]]), int(node[more[j]])))
         return pa.table({"u": pa.array([o[0] for o in out], pa.int64()), "v": pa.array([o[1] for o in out], pa.int64())})
 
-    return rows.groupBy("hub", "a", "b").applyInArrow(compare, "u long, v long")
+    return rows.groupBy(*cell).applyInArrow(compare, "u long, v long")
 
 
 def _dense(some: list[np.ndarray], more: list[np.ndarray]) -> np.ndarray:

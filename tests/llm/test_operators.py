@@ -184,6 +184,8 @@ def test_audio(docs):
     tone = (128 + 100 * np.sin(2 * np.pi * np.arange(4096) * 32 / 256)).astype(np.uint8).tobytes()
     t, f = op04_audio.peaks(tone)
     assert Counter(f.tolist()).most_common(1)[0][0] == 32
+    tail = (128 + 100 * np.sin(2 * np.pi * np.arange(64) * 32 / 256)).astype(np.uint8).tobytes()
+    assert op04_audio.peaks(bytes([128]) * 256 + tail)[0].tolist().count(1) > 0  # the last samples are in a frame
     codes, prints = op04_audio.fingerprints(tone)
     assert (np.diff(codes) >= 0).all() and len(codes) == len(prints) > 0
     arrays = by_id(op04_audio.fingerprint_media(media))
@@ -389,6 +391,16 @@ def test_blocks_settle_what_stars_leave(spark, monkeypatch):
     want = brute_components(nodes, 3, 85)
     assert {i: found.get(i, i) for i, _ in nodes} == {i: c for i, (_, c) in want.items()}
     assert links.count() < 30 * 29 / 2
+    # a large component beside small ones: it meets them, whole, and never itself
+    some = {0: 0, **{i: 1 for i in range(1, 20)}}
+    groups = spark.createDataFrame([(-1, i, some.get(i, i)) for i, _ in nodes], "hub long, node long, component long")
+    late = [(x.u, x.v) for x in op10_min_max.settle(groups, texts, 3, 85).collect()]
+    assert all(some.get(u, u) != some.get(v, v) for u, v in late)
+    known = [(1, i) for i in range(2, 20)]
+    found = {x.node: x.component for x in op10_min_max.components(spark.createDataFrame(known + late, "u long, v long")).collect()}
+    root = {i: c for i, (_, c) in want.items()}
+    joined = min(root[i] for i in range(1, 20))
+    assert {i: found.get(i, i) for i, _ in nodes} == {i: joined if c in {root[k] for k in range(1, 20)} else c for i, c in root.items()}
 
 
 def test_components(spark):
