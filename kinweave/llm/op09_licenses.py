@@ -1,12 +1,11 @@
-"""Operator 9: license scans by a positional rare-token index.
+"""Operator 9: license scans by a positional index of licence words.
 
 The words of the licence templates form a small fixed vocabulary. One pass counts in how many documents
-of the whole corpus each of them stands; that gives their IDF. In the scan, each document's highest-IDF
-licence words, none of them in more than a twentieth of all documents, are looked up in the postings (template, position); occurrences of different words that
-agree on a relative position propose an alignment of document and template. Along a proposed alignment
-the whole template is compared, weighted by IDF, and the template is reported if enough of it agrees
-and one of its mandatory key phrases stands in the document, word for word. Base phrases are found on
-their own and always reported.
+of the whole corpus each of them stands; that gives their IDF. In the scan, each occurrence of a licence
+word that is in no more than a twentieth of all documents adds its IDF to every alignment of document and
+template in which it agrees, so that all alignments in which two different words agree are compared whole.
+A template is reported if enough of it agrees and one of its mandatory key phrases stands in the document,
+word for word. Base phrases are found on their own and always reported.
 
 Defined results: null and empty texts and texts without licence words have no labels ('') and score 0;
 nulls in doc_id and repeated rows stay as they are; empty tables give no row; extra columns are ignored.
@@ -37,8 +36,7 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
 )
-#: Distinct licence words of highest IDF that a document looks up, and the share of documents beyond which no word is rare.
-RARE = 8
+#: Share of documents beyond which no word is rare.
 COMMON = 0.05
 #: Share of a template's IDF that must agree along one alignment.
 SHARE = 0.6
@@ -66,10 +64,6 @@ class Index:
         seen = np.array([(df or {}).get(w, 0) for w in self.vocabulary], float)
         self.idf = np.log((n_docs + 1) / (seen + 1)) + 1
         self.rare = seen <= COMMON * n_docs
-        #: Postings of each word: template and position, ragged.
-        posts = sorted((w, t, p) for t, words in enumerate(self.templates) for p, w in enumerate(words.tolist()))
-        self.post = np.array(posts, np.int64).reshape(-1, 3)
-        self.post_first = np.searchsorted(self.post[:, 0], np.arange(len(self.vocabulary) + 1))
         self.mass = [self.idf[t].sum() for t in self.templates]
 
     def numbers(self, c: ragged.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -100,32 +94,38 @@ class Index:
             out.append(np.stack((text[inside], (at - first[text])[inside], np.full(int(inside.sum()), k))))
         return tuple(np.concatenate(out, axis=1))
 
-    def align(self, words: np.ndarray) -> tuple[set[str], float]:
-        """Labels of the templates that a text holds, and the best share of any."""
-        own, best = set(), 0.0
+    def align(self, words: np.ndarray, first: np.ndarray) -> tuple[dict[int, set[str]], np.ndarray]:
+        """Labels of the templates that each text of a chunk holds, and the best share of any.
+
+        Texts stand apart by the longest template, so that no alignment reaches two of them.
+        """
+        n = len(first) - 1
+        own, best = {}, np.zeros(n)
+        gap = max(map(len, self.templates), default=0)
+        begin = first[:-1] + np.arange(1, n + 1) * gap
         at = np.flatnonzero(words >= 0)
         at = at[self.rare[words[at]]]
-        kinds = np.unique(words[at])
-        rare = kinds[np.lexsort((kinds, -self.idf[kinds]))][:RARE]
-        at = at[np.isin(words[at], rare)]
-        w = words[at]
-        n = self.post_first[w + 1] - self.post_first[w]
-        post = ragged.gather(self.post, self.post_first[w], n)
-        spot = np.repeat(at, n) - post[:, 2]
-        votes = np.unique(np.stack((post[:, 1], spot, post[:, 0]), axis=1), axis=0)
-        pairs, count = np.unique(votes[:, :2], axis=0, return_counts=True)
-        present: dict[int, bool] = {}
-        for t, s in pairs[count > 1].tolist():
-            template = self.templates[t]
-            lo, hi = max(0, -s), min(len(template), len(words) - s)
-            share = float(self.idf[template[lo:hi]][words[s + lo : s + hi] == template[lo:hi]].sum() / self.mass[t])
-            if share >= SHARE:
-                if t not in present:
-                    present[t] = any(len(self.places(words, k)) for k in self.keys[t])
-                if not present[t]:
-                    continue
-                own.add(self.labels[t])
-            best = max(best, share)
+        place = at + np.searchsorted(first, at, "right") * gap
+        order = np.argsort(words[at], kind="stable")
+        place, bounds = place[order], np.searchsorted(words[at][order], np.arange(len(self.vocabulary) + 1))
+        size = len(words) + (n + 1) * gap
+        for t, template in enumerate(self.templates):
+            share, last, agreed = np.zeros(size), np.full(size, -1, np.int32), np.zeros(size, bool)
+            for w, p in sorted(zip(template.tolist(), range(len(template)), strict=True)):
+                spot = place[bounds[w] : bounds[w + 1]] - p
+                share[spot] += self.idf[w]
+                agreed[spot] |= (last[spot] >= 0) & (last[spot] != w)
+                last[spot] = w
+            spot = np.flatnonzero(agreed if len(np.unique(template)) > 1 else last >= 0)
+            if not len(spot):
+                continue
+            text, share = np.searchsorted(begin - gap + 1, spot, "right") - 1, share[spot] / self.mass[t]
+            high = share >= SHARE
+            np.maximum.at(best, text[~high], share[~high])
+            for i in np.unique(text[high]).tolist():
+                if any(len(self.places(words[first[i] : first[i + 1]], k)) for k in self.keys[t]):
+                    own.setdefault(i, set()).add(self.labels[t])
+                    best[i] = max(best[i], share[high & (text == i)].max())
         return own, best
 
     def scan(self, c: ragged.Chunk) -> list[tuple[int, int, int | None, int | None, str, str, float]]:
@@ -139,14 +139,11 @@ class Index:
         base: dict[int, set[str]] = {}
         for t, k in zip(text.tolist(), phrase.tolist(), strict=True):
             base.setdefault(t, set()).add(self.base[k][1])
-        known = words >= 0
-        known[known] = self.rare[words[known]]
-        rare = np.diff(np.concatenate((np.zeros(1, np.int64), np.cumsum(known)))[first])
+        found, best = self.align(words, first)
         out = []
         for i in range(c.n):
-            own, best = self.align(words[first[i] : first[i + 1]]) if rare[i] > 1 else (set(), 0.0)
-            named, hit = base.get(i, set()), n_base[i] > 0
-            score = 1.0 if hit else round(min(best, 1.0), 6)
+            own, named, hit = found.get(i, set()), base.get(i, set()), n_base[i] > 0
+            score = 1.0 if hit else round(min(float(best[i]), 1.0), 6)
             out.append((int(first[i + 1] - first[i]), int(n_base[i]), int(low[i]) if hit else None, int(high[i]) if hit else None, ",".join(sorted(named)), ",".join(sorted(named | own)), score))
         return out
 

@@ -329,6 +329,45 @@ def test_license_templates_without_a_base_phrase(spark):
     assert [got[i].labels for i in range(3)] == ["mit", "mit", ""] and got[0].score > 0.9 and got[10].score == 0
 
 
+def brute_licenses(texts):
+    """(labels without base phrases, share) of each text: every alignment of every template, in which two different words agree."""
+    plain = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)) for t in texts]
+    seen = Counter(w for words in plain for w in set(words))
+    out = []
+    for words in plain:
+        labels, best = set(), 0.0
+        for label, notice, keys in op09_licenses.TEMPLATES:
+            own = notice.split()
+            idf = [np.log((len(texts) + 1) / (seen[w] + 1)) + 1 for w in own]
+            held = any(f" {k} " in f" {' '.join(words)} " for k in keys)
+            for s in range(1 - len(own), len(words)):
+                agree = [p for p in range(max(0, -s), min(len(own), len(words) - s)) if words[s + p] == own[p]]
+                share = sum(idf[p] for p in agree) / sum(idf)
+                if len({own[p] for p in agree}) > 1 and (held or share < op09_licenses.SHARE):
+                    best = max(best, share)
+                    if share >= op09_licenses.SHARE:
+                        labels.add(label)
+        out.append((labels, best))
+    return out
+
+
+def check_licenses(spark, texts):
+    got = by_id(op09_licenses.scan_licenses(frame(spark, texts).repartition(2)))
+    for i, (labels, best) in enumerate(brute_licenses(texts)):
+        assert set(filter(None, got[i].labels.split(","))) == labels | set(filter(None, got[i].base_labels.split(",")))
+    return got
+
+
+def test_several_licenses_in_one_text(spark):
+    notices = [t[1] for t in op09_licenses.TEMPLATES]
+    r = random.Random(12)
+    pairs = [f"{a} {prose(r, 3)} {b}" for a in notices for b in notices if a < b]
+    texts = [" ".join(notices), "\n".join(reversed(notices)), "", None, *pairs]
+    texts += [prose(r, 5) for _ in range(20 * len(texts))]
+    got = check_licenses(spark, texts)
+    assert set(got[0].labels.split(",")) == {t[0] for t in op09_licenses.TEMPLATES}
+
+
 def brute_components(texts, size, percent):
     sets = {}
     for i, t in texts:
