@@ -2,8 +2,8 @@
 
 The words of the licence templates form a small fixed vocabulary. One pass counts in how many documents
 of the whole corpus each of them stands; that gives their IDF. In the scan, each occurrence of a licence
-word that is in no more than a twentieth of all documents adds its IDF to every alignment of document and
-template in which it agrees, so that all alignments in which two different words agree are compared whole.
+word adds its IDF, however small, to every alignment of document and template in which it agrees, so that
+all alignments in which two different words agree are compared whole.
 A template is reported if enough of it agrees and one of its mandatory key phrases stands in the document,
 word for word. Base phrases are found on their own and always reported.
 
@@ -36,8 +36,6 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
 )
-#: Share of documents beyond which no word is rare.
-COMMON = 0.05
 #: Share of a template's IDF that must agree along one alignment.
 SHARE = 0.6
 WORD = np.zeros(256, bool)
@@ -63,7 +61,6 @@ class Index:
         self.base = [(np.array([number[w] for w in p.split()]), label) for p, label in base]
         seen = np.array([(df or {}).get(w, 0) for w in self.vocabulary], float)
         self.idf = np.log((n_docs + 1) / (seen + 1)) + 1
-        self.rare = seen <= COMMON * n_docs
         self.mass = [self.idf[t].sum() for t in self.templates]
 
     def numbers(self, c: ragged.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +101,6 @@ class Index:
         gap = max(map(len, self.templates), default=0)
         begin = first[:-1] + np.arange(1, n + 1) * gap
         at = np.flatnonzero(words >= 0)
-        at = at[self.rare[words[at]]]
         place = at + np.searchsorted(first, at, "right") * gap
         order = np.argsort(words[at], kind="stable")
         place, bounds = place[order], np.searchsorted(words[at][order], np.arange(len(self.vocabulary) + 1))

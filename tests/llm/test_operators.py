@@ -355,6 +355,7 @@ def check_licenses(spark, texts):
     got = by_id(op09_licenses.scan_licenses(frame(spark, texts).repartition(2)))
     for i, (labels, best) in enumerate(brute_licenses(texts)):
         assert set(filter(None, got[i].labels.split(","))) == labels | set(filter(None, got[i].base_labels.split(",")))
+        assert got[i].n_base or abs(got[i].score - best) < 2e-6
     return got
 
 
@@ -368,6 +369,15 @@ def test_several_licenses_in_one_text(spark):
     assert set(got[0].labels.split(",")) == {t[0] for t in op09_licenses.TEMPLATES}
 
 
+def test_licenses_of_common_words(spark):
+    mit = op09_licenses.TEMPLATES[1][1]
+    r = random.Random(13)
+    got = check_licenses(spark, [f"{prose(r, 4)} {mit if i % 3 == 0 else ''}" for i in range(60)])
+    assert all((g.labels == "mit") == (i % 3 == 0) for i, g in got.items())
+    for n in (1, 5, 19):
+        assert check_licenses(spark, [mit] + ["plain"] * (n - 1))[0].labels == "mit"
+
+
 def brute_components(texts, size, percent):
     sets = {}
     for i, t in texts:
