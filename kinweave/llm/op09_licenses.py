@@ -36,6 +36,24 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
 )
+#: The same for lines that grant a licence by its name and version.
+GRANTS = tuple(
+    (label, f"licensed under {'' if name.startswith(('cc ', 'creative ')) else 'the '}{name}", (name,))
+    for label, names in (
+        ("apache-2", ("apache license version 2", "apache license 2 0", "apache 2 0 license")),
+        ("gpl-3", ("gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3", "gpl version 3", "gpl v3", "gplv3", "gpl 3 0")),
+        ("gpl-2", ("gnu general public license version 2", "gnu general public license v2", "gnu gpl version 2", "gpl version 2", "gpl v2", "gplv2", "gpl 2 0")),
+        ("lgpl-3", ("gnu lesser general public license version 3", "gnu lesser general public license v3", "lgpl version 3", "lgpl v3", "lgplv3", "lgpl 3 0")),
+        ("lgpl-2.1", ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "lgpl version 2 1", "lgpl v2 1", "lgplv2 1", "lgpl 2 1")),
+        ("agpl-3", ("gnu affero general public license version 3", "gnu affero general public license v3", "agpl version 3", "agpl v3", "agplv3", "agpl 3 0")),
+        ("bsd", ("bsd license", "bsd 2 clause license", "bsd 3 clause license", "2 clause bsd license", "3 clause bsd license", "new bsd license", "simplified bsd license")),
+        ("mpl-2", ("mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0", "mpl version 2 0", "mpl 2 0")),
+        *((f"cc-{kind}", (f"cc {kind.replace('-', ' ')} {v} 0", f"creative commons {long} {v} 0")) for v in (4, 3) for kind, long in (
+            ("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nd", "attribution noderivatives"),
+            ("by-nc", "attribution noncommercial"), ("by-nc-sa", "attribution noncommercial sharealike"), ("by-nc-nd", "attribution noncommercial noderivatives"))),
+    )
+    for name in names
+)
 #: Share of a template's IDF that must agree along one alignment.
 SHARE = 0.6
 WORD = np.zeros(256, bool)
@@ -45,7 +63,7 @@ WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 class Index:
     """Vocabulary, postings and phrases of a list of templates. IDF is given or, before the count, equal."""
 
-    def __init__(self, templates=TEMPLATES, base=BASE, df: dict[str, int] | None = None, n_docs: int = 0):
+    def __init__(self, templates=TEMPLATES + GRANTS, base=BASE, df: dict[str, int] | None = None, n_docs: int = 0):
         self.labels = [t[0] for t in templates]
         texts = [t[1].split() for t in templates] + [k.split() for t in templates for k in t[2]] + [b[0].split() for b in base]
         self.vocabulary = sorted({w for t in texts for w in t})
@@ -144,7 +162,7 @@ class Index:
         return out
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, base=BASE) -> tuple[dict[str, int], int]:
+def document_frequencies(docs: DataFrame, text_col: str = "text", templates=TEMPLATES + GRANTS, base=BASE) -> tuple[dict[str, int], int]:
     """In how many of all documents each word of the templates stands, and how many documents there are.
 
     What comes back has a row for each word of the fixed templates.
@@ -168,7 +186,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", templates=TEMP
     return {w: got.get(i, 0) for i, w in enumerate(vocabulary)}, got.get(-1, 0)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base=BASE) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES + GRANTS, base=BASE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row."""
     df, n_docs = document_frequencies(docs, text_col, templates, base)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]

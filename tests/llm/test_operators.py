@@ -336,7 +336,7 @@ def brute_licenses(texts):
     out = []
     for words in plain:
         labels, best = set(), 0.0
-        for label, notice, keys in op09_licenses.TEMPLATES:
+        for label, notice, keys in op09_licenses.TEMPLATES + op09_licenses.GRANTS:
             own = notice.split()
             idf = [np.log((len(texts) + 1) / (seen[w] + 1)) + 1 for w in own]
             held = any(f" {k} " in f" {' '.join(words)} " for k in keys)
@@ -378,6 +378,23 @@ def test_licenses_of_common_words(spark):
         assert check_licenses(spark, [mit] + ["plain"] * (n - 1))[0].labels == "mit"
 
 
+def test_short_license_grants(spark, sf):
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3", "Licensed under the GNU General Public License, version 2": "gpl-2",
+        "licensed under the GNU Lesser General Public License version 2.1": "lgpl-2.1", "It is licensed under the LGPL v3.": "lgpl-3", "licensed under the GNU Affero General Public License v3": "agpl-3",
+        "Licensed under the BSD 3-Clause License": "bsd", "licensed under the Mozilla Public License, v. 2.0": "mpl-2", "Licensed under CC BY-SA 4.0": "cc-by-sa",
+        "licensed under Creative Commons Attribution-NoDerivatives 3.0": "cc-by-nd", "GNU General Public License without more": "",
+    }
+    got = check_licenses(spark, list(lines))
+    assert [got[i].labels for i in range(len(lines))] == list(lines.values())
+    texts = [r.text for r in store.documents(spark, sf).collect()]
+    got = check_licenses(spark, texts)
+    phrases = {"general public license, version 3": "gpl-3", "under the mit license": "mit", "apache license, version 2": "apache-2", "cc by-nc": "cc-by-nc"}
+    for i, t in enumerate(texts):
+        for phrase, label in phrases.items():
+            assert phrase not in (t or "").lower() or label in got[i].labels.split(",")
+
+
 def brute_components(texts, size, percent):
     sets = {}
     for i, t in texts:
