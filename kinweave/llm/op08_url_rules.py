@@ -1,16 +1,18 @@
-"""Operator 8: URL filters by listed rules and by association rules that FP-growth mines.
+"""Operator 8: URL filters by listed rules and by mined association rules.
 
 Listed rules (host, path) come first: a rule fits its host and all subdomains if the URL's path starts
 with the rule's, and the longest fitting rule decides. Token combinations of URLs (host labels, domain,
-language and other path parts, endings, query keys) are mined by Spark's FP-growth together with the label of each
+language and other path parts, endings, query keys) are mined together with the label of each
 labelled URL; rules "combination, therefore label" are kept by support and confidence, and pruned where
 a shorter rule already says the same as surely. Each kept rule is indexed under its rarest token; a URL looks
 up its tokens in that index and checks the rest of each rule found. The surest rule decides, block before
 allow if they are equally sure, and a URL that no rule matches is allowed.
 
-What is mined is bounded by the support: a URL has at most TOKENS mined tokens and a kept combination at
-most ANTECEDENT, so that at most C(TOKENS, ANTECEDENT) / support combinations can reach it, however many URLs
-there are. All URLs are matched by all their tokens.
+All frequent tokens of all labelled URLs are mined, and rules of any length, level by level: a combination
+is counted, exactly, if each part of it reaches the support and each of its tokens leaves out some URL of
+another label. One that doesn't is never surer than a shorter one, nor is any longer one, so the rules
+that are left are those of FP-growth on the whole URLs after pruning, and tokens that always come together
+(such as the keys of one long query) don't multiply. All URLs are matched by all their tokens.
 
 Defined results: a null URL or one without '://' has an empty host and path, no tokens and is allowed;
 repeated rows are judged alike; with no labelled URL nothing is mined; an empty table gives no row; extra
@@ -19,7 +21,13 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +38,6 @@ LISTED = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.co
 #: Share of the labelled URLs that hold a combination and its label; share of those with the combination that have the label.
 SUPPORT = 0.005
 CONFIDENCE = 0.9
-#: Tokens of a URL that are mined, and of a kept rule.
-TOKENS = 14
-ANTECEDENT = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,42 +81,89 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_distinct(tokens)).otherwise(F.array().cast("array<string>"))
 
 
+def counted(rows: DataFrame, tokens: list[str], labels: list[str], sets: np.ndarray, least: int) -> dict[tuple, np.ndarray]:
+    """How many of rows (tokens, label) hold each of sets (rows of token numbers, all of one length), by label and, last, of other or no label.
+
+    Only sets that ``least`` rows of one of the labels hold are returned.
+    """
+    names = [f"n{i}" for i in range(len(labels) + 1)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, kinds = pa.array(tokens, pa.string()), pa.array(labels, pa.string())
+        total = np.zeros((len(names), len(sets)), np.int64)
+        step = max(1, (1 << 17) // sets.shape[1])
+        for batch in batches:
+            kind = pc.fill_null(pc.index_in(batch.column(1), value_set=kinds), len(labels)).to_numpy(zero_copy_only=False)
+            code = pc.fill_null(pc.index_in(pc.list_flatten(batch.column(0)), value_set=known), len(tokens)).to_numpy(zero_copy_only=False)
+            row = pc.list_parent_indices(batch.column(0)).to_numpy(zero_copy_only=False)
+            for k in range(len(names)):
+                own = np.flatnonzero(kind == k)
+                for lo in range(0, len(own), 4096):
+                    some = own[lo : lo + 4096]
+                    held = np.zeros((len(tokens) + 1, -(-len(some) // 64) * 64), bool)
+                    here = np.isin(row, some)
+                    held[code[here], np.searchsorted(some, row[here])] = True
+                    bits = np.packbits(held, axis=1).view(np.uint64)
+                    wide = max(1, step // bits.shape[1])
+                    for at in range(0, len(sets), wide):
+                        both = np.bitwise_and.reduce(bits[sets[at : at + wide]], axis=1)
+                        total[k, at : at + wide] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+        found = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array(t[found]) for t in total)], names=["set", *names])
+
+    sums = rows.mapInArrow(count, ", ".join(f"{x} long" for x in ["set", *names])).groupBy("set").agg(*(F.sum(x).alias(x) for x in names))
+    found = sums.where(" OR ".join(f"{x} >= {least}" for x in names[:-1])).collect()
+    return {tuple(sets[r["set"]].tolist()): np.array([r[x] for x in names]) for r in found}
+
+
+def longer(sets: set[tuple]) -> set[tuple]:
+    """The sets of one token more, all of whose parts of one token less are in sets."""
+    groups: dict[tuple, list[int]] = {}
+    for x in sorted(sets):
+        groups.setdefault(x[:-1], []).append(x[-1])
+    made = (head + pair for head, tails in groups.items() for pair in combinations(tails, 2))
+    return {x for x in made if all(x[:i] + x[i + 1 :] in sets for i in range(len(x) - 2))}
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (tokens array<string>, verdict, confidence, support) from rows (tokens, label)."""
     spark = labelled.sparkSession
-    n = labelled.count()
-    empty = spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
+    schema = "tokens array<string>, verdict string, confidence double, support double"
+    rows = store.keep(labelled.select("tokens", "label"), "url-rows")
+    n = rows.count()
     if not n:
-        return empty
-    # tokens below the support are in no combination that reaches it
-    often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= support * n)
-    often = store.keep(often, "url-tokens")
-    rows = labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "label")
-    rows = store.keep(rows, "url-rows")
-    some = rows.select("row", F.explode("tokens").alias("token")).join(often, "token")
-    # of more than TOKENS frequent tokens, the rarest are mined
-    mined = some.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")).join(rows.select("row", "label"), "row")
-    items = mined.select(F.concat(F.transform(F.slice("t", 1, TOKENS), lambda x: x["token"]), F.array(F.concat(F.lit("label:"), F.col("label")))).alias("items"))
-    items = store.keep(items, "url-items")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    found = model.freqItemsets.where(F.size("items") <= ANTECEDENT + 1)
-    found = store.keep(found.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
-    is_label = lambda x: F.startswith(x, F.lit("label:"))
-    with_label = found.select(F.filter("items", lambda x: ~is_label(x)).alias("tokens"), F.filter("items", is_label).alias("label"), "freq").where("size(label) = 1 AND size(tokens) > 0")
-    alone = found.select(F.col("items").alias("tokens"), F.col("freq").alias("all"))
-    rules = with_label.join(alone, "tokens").select("tokens", F.substring(F.col("label")[0], 7, 100).alias("verdict"), (F.col("freq") / F.col("all")).alias("confidence"), (F.col("freq") / n).alias("support")).where(F.col("confidence") >= confidence)
-    rules = store.keep(rules, "url-rules")
-    # a rule is of no use beside a shorter one, of some of its tokens, that says the same as surely
-    parts = rules.select(F.col("tokens").alias("whole"), F.col("verdict"), F.col("confidence").alias("sure"), F.explode(subsets("tokens")).alias("tokens"))
-    idle = parts.join(rules.select("tokens", "verdict", "confidence"), ["tokens", "verdict"]).where("confidence >= sure").select(F.col("whole").alias("tokens"), "verdict").distinct()
-    return store.keep(rules.join(idle, ["tokens", "verdict"], "left_anti"), "url-rules")
-
-
-def subsets(tokens: str) -> Column:
-    """The proper non-empty subsets of a sorted array of at most ANTECEDENT = 3 tokens."""
-    single = F.transform(tokens, lambda x: F.array(x))
-    pairs = F.transform(tokens, lambda x: F.array_sort(F.array_except(F.col(tokens), F.array(x))))
-    return F.when(F.size(tokens) == 3, F.concat(single, pairs)).when(F.size(tokens) == 2, single).otherwise(F.array().cast("array<array<string>>"))
+        return spark.createDataFrame([], schema)
+    least = max(1, math.ceil(support * n))
+    # tokens and labels below the support are in no rule that reaches it; what comes back is bounded by it
+    often = rows.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").count().where(F.col("count") >= least)
+    tokens = sorted(r["token"] for r in often.select("token").where("token IS NOT NULL").collect())
+    labels = sorted(r["label"] for r in rows.groupBy("label").count().where(F.col("count") >= least).collect() if r["label"] is not None)
+    rules = []
+    level = {(i,) for i in range(len(tokens))} if labels else set()
+    alive: list[set[tuple]] = [level] * len(labels)
+    before: dict[tuple, np.ndarray] = {}
+    surest: list[dict[tuple, float]] = [{} for _ in labels]
+    while level:
+        counts = counted(rows, tokens, labels, np.array(sorted(level)), least)
+        for k, label in enumerate(labels):
+            kept, sure = set(), {}
+            for x in alive[k]:
+                c = counts.get(x)
+                if c is None or c[k] < least:
+                    continue
+                parts = [x[:i] + x[i + 1 :] for i in range(len(x))] if len(x) > 1 else []
+                # a token that no row of another label lacks makes neither this rule nor a longer one surer
+                if any(before[y].sum() - before[y][k] == c.sum() - c[k] for y in parts):
+                    continue
+                kept.add(x)
+                share, best = float(c[k] / c.sum()), max((surest[k][y] for y in parts), default=0.0)
+                # a rule is of no use beside a shorter one, of some of its tokens, that says the same as surely
+                if share >= confidence and share > best:
+                    rules.append(([tokens[i] for i in x], label, share, float(c[k] / n)))
+                sure[x] = max(best, share if share >= confidence else 0.0)
+            alive[k], surest[k] = longer(kept), sure
+        before, level = counts, set().union(*alive)
+    return store.keep(spark.createDataFrame(rules, schema), "url-rules")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:

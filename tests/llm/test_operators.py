@@ -309,6 +309,34 @@ def test_mined_rules_against_counting(spark):
     assert op08_url_rules.mine(spark.createDataFrame([], "tokens array<string>, label string")).count() == 0
 
 
+def test_mined_rules_of_long_urls(spark):
+    from itertools import combinations
+
+    r = random.Random(14)
+    keys = [f"q:{i:02d}" for i in range(20)]
+    rows = [(["d:hot", *keys], "block") for _ in range(100)]  # 21 frequent tokens, the domain's the most frequent
+    rows += [(["d:hot"], "block") for _ in range(50)]
+    four = ["w", "x", "y", "z"]
+    rows += [(four, "block") for _ in range(20)] + [([t for t in four if t != u], "allow") for u in four for _ in range(20)]
+    rows += [(sorted({r.choice("abcdef") for _ in range(r.randint(1, 6))}), r.choice(["block", "allow", None])) for _ in range(100)]
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, "tokens array<string>, label string").repartition(3)
+    got = {(tuple(sorted(x.tokens)), x.verdict): (round(x.confidence, 9), round(x.support, 9)) for x in op08_url_rules.mine(frame, 0.02, 0.9).collect()}
+    want = {}
+    for some in (["d:hot", *keys[:3]], four, "abcdef"):
+        for k in range(1, len(some) + 1):
+            for c in combinations(some, k):
+                hit = [label for t, label in rows if set(c) <= set(t)]
+                for label in ("block", "allow"):
+                    m = hit.count(label)
+                    if m >= 0.02 * len(rows) and m / len(hit) >= 0.9:
+                        want[c, label] = (round(m / len(hit), 9), round(m / len(rows), 9))
+    want |= {((k,), "block"): want[(keys[0],), "block"] for k in keys}
+    want = {(c, v): x for (c, v), x in want.items() if not any(set(d) < set(c) and w == v and y[0] >= x[0] for (d, w), y in want.items())}
+    assert got == want and got[("d:hot",), "block"][1] == round(150 / len(rows), 9)
+    assert (tuple(four), "block") in got
+
+
 def test_licenses(docs):
     got = by_id(op09_licenses.scan_licenses(docs))
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
