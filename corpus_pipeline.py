@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    return op10_min_max.drop_near_duplicates(docs, size=5, percent=80)
+    """One row of each group of near copies, repeated ids and rows without one too: five-word shingles, similarity of 0.8 or more."""
+    return op10_min_max.one_of_each(docs, size=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,6 +252,25 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, columns as they are: also of rows that share a doc_id, and of copies without one.
+
+    Rows without a doc_id get stand-ins above all others, so that a row with a doc_id stays before they do. Of rows
+    that share a doc_id the one of the least text stays.
+    """
+    doc_id = F.col(id_col).cast("long")
+    top = docs.agg(F.coalesce(F.max(doc_id), F.lit(-1)).alias("top")).collect()[0]["top"]
+    # written first: a stand-in must stay with its row
+    nameless = store.keep(docs.where(doc_id.isNull()).withColumn("_id", F.lit(top + 1) + F.monotonically_increasing_id()), "nameless")
+    named = docs.where(doc_id.isNotNull()).withColumn("_id", doc_id)
+    again = store.keep(named.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "repeated-ids")
+    one = named.join(again, "_id", "left_semi").groupBy("_id").agg(F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias("row")).select("row.*", "_id")
+    rows = named.join(again, "_id", "left_anti").select(*docs.columns, "_id").unionByName(one).unionByName(nameless)
+    found = near_duplicates(named.unionByName(nameless), size, percent, "_id", text_col)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
+    return rows.join(gone, "_id", "left_anti").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(store.documents(spark, sf_dir), size=3, percent=85)
 

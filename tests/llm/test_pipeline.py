@@ -1,6 +1,7 @@
 """The pipeline against a plain version of each stage, and the driver's registration."""
 
 import base64
+import random
 import re
 from collections import Counter
 
@@ -11,7 +12,7 @@ import __spark_entry__
 import corpus_pipeline
 from kinweave.llm import op06_mixing
 
-from .test_operators import WORD, brute_components
+from .test_operators import WORD, brute_components, prose
 
 
 def test_pipeline(spark, sf):
@@ -41,6 +42,20 @@ def test_pipeline(spark, sf):
     assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, sf).collect()) == want
 
 
+def test_one_row_of_each_group_stays(spark, sf):
+    r = random.Random(15)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    near = a + " end"
+    rows = [(4, a), (4, a), (4, near), (9, near), (None, a), (None, b), (None, b), (None, b + " end"), (5, c), (5, c), (None, ""), (6, None), (7, prose(r, 60))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(4)
+    got = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert got.columns == docs.columns
+    got = [(x.doc_id, x.text) for x in got.collect()]
+    assert sorted(i for i, _ in got if i is not None) == [4, 5, 6, 7]
+    assert sorted(t[:60] for i, t in got if i is None) == ["", b[:60]] and dict(got)[4] == a
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), sf).count() == 0
+
+
 def test_registration():
     names = __spark_entry__.queries()
     assert "pipeline" in names
