@@ -62,22 +62,30 @@ def clusters(colours: DataFrame) -> DataFrame:
     return own.join(named, ["round", "colour"]).select("round", "cluster", "id")
 
 
-def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, component (its least id) of all nodes (id); pairs (first, second). Alternates large and small stars."""
-    edges = pairs.where("first <> second").select(F.greatest("first", "second").alias("u"), F.least("first", "second").alias("v")).distinct()
-    before = None
+def stars(pairs: DataFrame) -> DataFrame:
+    """u, v: every node of pairs (u, v) that isn't the least of its component, with that least one.
+
+    Alternates large stars and small stars until nothing changes; of the rounds that are written only the last stays.
+    """
+    edges = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    rounds, before = tables.Rounds(pairs.sparkSession, "stars"), None
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = tables.keep(small, "stars")
+        edges = rounds.keep(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return edges
         before = now
-    return nodes.select("id").join(edges.select(F.col("u").alias("id"), F.col("v").alias("_root")), "id", "left").select("id", F.coalesce("_root", "id").alias("component"))
+
+
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, component (its least id) of all nodes (id); pairs (first, second)."""
+    found = stars(pairs.select(F.col("first").alias("u"), F.col("second").alias("v")))
+    return nodes.select("id").join(found.select(F.col("u").alias("id"), F.col("v").alias("_root")), "id", "left").select("id", F.coalesce("_root", "id").alias("component"))
 
 
 def signatures(edges: DataFrame, colours: DataFrame) -> DataFrame:
