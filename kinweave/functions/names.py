@@ -1,82 +1,97 @@
 """Names with nested angle brackets: normal forms and owners, as Arrow-batched string functions.
 
-Brackets nest without bound, which regular expressions can't follow; everything here is one pass over
-a name with a stack.
+Brackets nest without bound, which regular expressions can't follow. A name is read once into a tree of text and
+bracket groups, and each normal form is a way of writing that tree out again. Equal names of a batch are read once.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Crates of the language itself.
+#: Crates of the language itself, the hash at a name's end, a root of a path.
 STANDARD = ("core", "alloc", "std", "__rustc")
 _HASH = re.compile(r"::h[0-9a-fA-F]{16}$")
 _ROOT = re.compile(r"(?<![A-Za-z0-9_:])([A-Za-z_][A-Za-z0-9_]*)::")
 
+_TOKEN = re.compile(r"::<|<|>|:|[^<>:]+")
 
-def closing(name: str) -> dict[int, int]:
-    """Position of each opening angle bracket that closes, and where."""
-    stack, out = [], {}
-    for i, ch in enumerate(name):
-        if ch == "<":
-            stack.append(i)
-        elif ch == ">" and stack:
-            out[stack.pop()] = i
-    return out
+
+@dataclass
+class Group:
+    """What stands between two brackets; mark: '<' or '::<'."""
+
+    mark: str
+    parts: list[str | Group] = field(default_factory=list)
+
+    def __str__(self) -> str:
+        return f"{self.mark}{inside(self)}>"
+
+
+class Open(str):
+    """A bracket that is never closed."""
 
 
-def _implementations(name: str) -> str:
-    """'::<impl T for U>' as '::impl_for=U', '::<impl T>' as '::impl=T'."""
-    at = 0
-    while (at := name.find("::<", at)) >= 0:
-        end = closing(name).get(at + 2)
-        if end is None:
-            return name
-        inner = name[at + 3 : end]
-        if inner.startswith("impl "):
-            head, sep, target = inner.rpartition(" for ")
-            said = f"::impl_for={target}" if sep else f"::impl={inner[5:]}"
-            name = name[:at] + said + name[end + 1 :]
-            at += len(said)
+def inside(group: Group) -> str:
+    return "".join(map(str, group.parts))
+
+
+def parse(name: str) -> Group:
+    """The name as a group without brackets of its own. Brackets that never close, or close nothing, are text."""
+    open_ = [Group("")]
+    for token in _TOKEN.findall(name):
+        if token.endswith("<"):
+            open_.append(Group(token))
+        elif token == ">" and len(open_) > 1:
+            closed = open_.pop()
+            open_[-1].parts.append(closed)
         else:
-            at = end + 1
-    return name
-
-
-def _casts(inner: str) -> bool:
-    """Whether ' as ' stands outside all brackets."""
-    depth = 0
-    for i, ch in enumerate(inner):
-        depth += (ch == "<") - (ch == ">")
-        if depth == 0 and inner.startswith(" as ", i):
-            return True
-    return False
-
-
-def _without_arguments(name: str) -> str:
-    """Generic arguments left out; a leading '<...>' and '<T as U>' stay, without theirs."""
-    ends, out, i = closing(name), [], 0
-    while i < len(name):
-        turbofish = name.startswith("::<", i)
-        opened = i + 2 if turbofish else i
-        end = ends.get(opened) if name[opened : opened + 1] == "<" else None
-        if end is None:
-            out.append(name[i])
-            i += 1
-            continue
-        inner = name[opened + 1 : end]
-        if not turbofish and (i == 0 or _casts(inner)):
-            out.append(f"<{_without_arguments(inner)}>")
-        i = end + 1
-    return "".join(out)
+            open_[-1].parts.append(token)
+    while len(open_) > 1:
+        lost = open_.pop()
+        open_[-1].parts += [Open(lost.mark), *lost.parts]
+    return open_[0]
+
+
+class Identities:
+    """Writes implementations as '::impl_for=target', or '::impl=type' without a target, up to a '::<' that never closes."""
+
+    def __init__(self):
+        self.ended = False
+
+    def write(self, group: Group) -> str:
+        return "".join(self.part(p) for p in group.parts)
+
+    def part(self, part: str | Group) -> str:
+        self.ended |= isinstance(part, Open) and part == "::<"
+        if self.ended or isinstance(part, str):
+            return str(part)
+        if part.mark == "<":
+            return f"<{self.write(part)}>"
+        said = inside(part)
+        if not said.startswith("impl "):
+            return str(part)
+        _, for_, target = said.rpartition(" for ")
+        return f"::impl_for={target}" if for_ else f"::impl={said.removeprefix('impl ')}"
+
+
+def bare(group: Group) -> str:
+    """The group without generic arguments: of its brackets stay a first one and casts, '<T as U>', bare in turn."""
+    out = ""
+    for i, part in enumerate(group.parts):
+        if isinstance(part, str):
+            out += part
+        elif part.mark == "<" and (i == 0 or any(" as " in p for p in part.parts if isinstance(p, str))):
+            out += f"<{bare(part)}>"
+    return out
 
 
 def canonical(name: str) -> str:
-    return _without_arguments(_implementations(_HASH.sub("", name)))
+    return bare(parse(Identities().write(parse(_HASH.sub("", name)))))
 
 
 def owner(name: str) -> str | None:
@@ -84,17 +99,22 @@ def owner(name: str) -> str | None:
     if "::" not in name:
         return None
     if not name.startswith("<"):
-        found = _ROOT.match(name)
-        return found[1] if found else None
-    end = closing(name).get(0)
-    roots = _ROOT.findall(name[1:end]) if end is not None else []
-    return next((r for r in roots if r not in STANDARD), roots[0] if roots else None)
+        root = _ROOT.match(name)
+        return root and root[1]
+    head = parse(name).parts[0]
+    roots = _ROOT.findall(inside(head)) if isinstance(head, Group) else []
+    foreign = [r for r in roots if r not in STANDARD]
+    return (foreign or roots or [None])[0]
+
+
+def _mapped(names: pd.Series, of) -> pd.Series:
+    return names.map({n: of(n) for n in names.dropna().unique()})
 
 
 def canonical_origin(name: Column) -> Column:
     @F.pandas_udf("string")
     def each(names: pd.Series) -> pd.Series:
-        return names.map(canonical, na_action="ignore")
+        return _mapped(names, canonical)
 
     return each(name)
 
@@ -104,6 +124,6 @@ def symbol_owner(name: Column) -> Column:
 
     @F.pandas_udf("string")
     def each(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: owner(n) or "unknown", na_action="ignore")
+        return _mapped(names, lambda n: owner(n) or "unknown")
 
     return each(name)

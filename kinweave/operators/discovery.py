@@ -30,29 +30,30 @@ def merge_sources(*sources: DataFrame) -> DataFrame:
     return rows.select("address", F.when(F.size(sized) > 0, F.get(sized, F.lit(0))["size"]).otherwise(first["size"]).alias("size"), first["name"].alias("name"), F.array_join(names, "+").alias("boundary_source"), first["kind"].alias("kind"))
 
 
-def locate(points: DataFrame, intervals: DataFrame, point: str, start: str, size: str, keep: list[str], bucket: int = BUCKET) -> DataFrame:
+def locate(points: DataFrame, intervals: DataFrame, point: str, start: str, size: str, keep: list[str], bucket: int = BUCKET, order: str | None = None) -> DataFrame:
     """Each point with the columns ``keep`` of the interval [start, start + size) that holds it, or nulls.
 
-    An interval that starts at the point comes first, then the one that starts last before it. A range join by
-    buckets: an interval is copied to the buckets of ``bucket`` units that it touches, a point belongs to one,
-    and the join is an equality that any join strategy can run. Intervals much longer than a bucket go by
-    powers of two of it, so that each makes at most two copies.
+    An interval that starts at the point comes first, whatever its size, then the first that holds it by the column
+    ``order`` (default: its start). A range join by buckets: an interval is copied to the buckets of ``bucket`` units
+    that it touches, a point belongs to one, and the join is an equality that any join strategy can run. Intervals
+    much longer than a bucket go by powers of two of it, so that each makes at most two copies.
     """
     long_ = lambda c: c.cast("long")
     level = F.greatest(F.ceil(F.log2(F.greatest(F.col(size), F.lit(1)) / bucket)), F.lit(0)).cast("int")
     at = lambda value, lv: F.floor(long_(value) / (F.lit(bucket) * F.pow(F.lit(2.0), lv))).cast("long")
-    spans = intervals.where(F.col(size) > 0).withColumn("_level", level)
-    first, last = at(F.col(start), F.col("_level")), at(F.col(start) + F.col(size) - 1, F.col("_level"))
-    spans = spans.select(F.col(start).alias("_start"), (F.col(start) + F.col(size)).alias("_end"), "_level", F.explode(F.sequence(first, last)).alias("_bucket"), F.struct(*keep).alias("_kept"))
-    exact = intervals.where(F.coalesce(F.col(size), F.lit(0)) <= 0).select(F.col(start).alias("_start"), F.struct(*keep).alias("_own"))
+    found = intervals.select(F.col(start).alias("_start"), F.col(size).alias("_size"), F.struct(order or start, start).alias("_order"), F.struct(*keep).alias("_kept"), level.alias("_level"))
+    spans = found.where("_size > 0")
+    first, last = at(F.col("_start"), F.col("_level")), at(F.col("_start") + F.col("_size") - 1, F.col("_level"))
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(first, last)))
+    exact = found.groupBy("_start").agg(F.min_by("_kept", "_order").alias("_own"))
     levels = spans.select("_level").distinct()
     # at most some sixty rows: one for each doubling of an interval's length that occurs
     asked = points.withColumn("_row", F.monotonically_increasing_id())
     probe = asked.select("_row", F.col(point).alias("_point")).join(F.broadcast(levels)).withColumn("_bucket", at(F.col("_point"), F.col("_level")))
-    hits = probe.join(spans, ["_level", "_bucket"]).where("_point >= _start AND _point < _end")
-    best = hits.groupBy("_row").agg(F.max_by("_kept", "_start").alias("_kept"))
+    hits = probe.join(spans, ["_level", "_bucket"]).where("_point >= _start AND _point < _start + _size")
+    best = hits.groupBy("_row").agg(F.min_by("_kept", "_order").alias("_first"))
     out = asked.join(best, "_row", "left").join(exact, F.col(point) == F.col("_start"), "left")
-    picked = F.coalesce(F.when(F.col("_own").isNotNull(), F.col("_own")), F.col("_kept"))
+    picked = F.coalesce("_own", "_first")
     return out.select(*points.columns, *(picked[k].alias(k if k not in points.columns else f"found_{k}") for k in keep))
 
 

@@ -252,12 +252,12 @@ def merged_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH spans AS (SELECT c_custkey * 100 AS start, CAST(floor(abs(c_acctbal)) AS BIGINT) AS size FROM customer)
-SELECT o_orderkey AS point, (SELECT max(start) FROM spans WHERE size > 0 AND start <= o_orderkey AND o_orderkey < start + size) AS start,
+SELECT o_orderkey AS point, coalesce((SELECT max(start) FROM spans WHERE start = o_orderkey), (SELECT min(start) FROM spans WHERE size > 0 AND start <= o_orderkey AND o_orderkey < start + size)) AS start,
 FROM orders""")
 def located_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interval that holds each order's key, by the bucketed range join."""
     spans = tables.read(spark, sf_dir, "customer").select((F.col("c_custkey") * 100).alias("start"), F.floor(F.abs("c_acctbal")).cast("long").alias("size"))
-    return discovery.locate(tables.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("point")), spans.where("size > 0"), "point", "start", "size", ["start"])
+    return discovery.locate(tables.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("point")), spans, "point", "start", "size", ["start"])
 
 
 SITES = bindings.TRANSFERS.rstrip() + """,

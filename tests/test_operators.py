@@ -1,5 +1,6 @@
 """Operators on small literal cases."""
 
+import hashlib
 import os
 import random
 import struct
@@ -80,6 +81,19 @@ def test_names():
         "f<g": ("f<g", None),
     }
     assert {n: (names.canonical(n), names.owner(n)) for n in cases} == cases
+    r = random.Random(7)
+    for _ in range(300):
+        # rules on names that are made of parts whose normal form is known
+        made = [r.choice([("a", "a"), ("b2", "b2"), ("f<u8>", "f"), ("g<h<T>, U>", "g")]) for _ in range(r.randint(1, 4))]
+        turbo, tail = r.choice(["", "::<T>", "::<a::B<C>>"]), r.choice(["", "::h00112233aabbccdd"])
+        kind, head = "::".join(x for x, _ in made), "::".join(y for _, y in made)
+        assert names.canonical(f"{kind}{turbo}{tail}") == head
+        assert names.canonical(f"<{kind} as t::U<V>>::m{turbo}{tail}") == f"<{head} as t::U>::m"
+        assert names.canonical(f"x::<impl t::U<V> for {kind}>::m{turbo}{tail}") == f"x::impl_for={head}::m"
+        assert names.canonical(f"x::<impl {kind}>::m") == f"x::impl={head}::m"
+        plain = "::".join(y for _, y in made)
+        assert names.owner(plain) == (made[0][1] if len(made) > 1 else None)
+        assert names.owner(f"<std::X as z::Y>::m") == "z" and names.owner("<std::X>::m") == "std"
 
 
 def decoded(spark, rows, address=0x1000, size=64):
@@ -205,9 +219,16 @@ def test_top_k_against_all_pairs(spark):
     for a in plain:
         near = sorted(((-round(sum(plain_jaccard(x, y) for x, y in zip(plain[a], plain[b], strict=True)) / 4, 9), b) for b in plain if b != a))
         want += [(a, b, -s, k + 1) for k, (s, b) in enumerate(near[:3]) if s < 0]
-    for block in (128, 3):
+    for block in (128, 3):  # blocks of three are many cells, some of which bounds leave out
         got = retrieval.top_k(rows, retrieval.TOKEN, 3, digits=9, block=block).collect()
         assert sorted((r.source, r.target, r.score, r["rank"]) for r in got) == sorted(want)
+
+
+def test_search_in_parts_and_views(spark):
+    table, *_ = random_bodies(spark, 6)
+    table = table.unionByName(table.where("id = 'b3'").withColumn("id", F.lit("b3copy")))
+    sizes = table.groupBy("id").agg(F.count("*").alias("size"))
+    rows = profiles.token_profiles(sizes, profiles.token_features(table).cache()).cache()
     parts = rows.withColumn("part", F.when(F.col("id") < "b2", "x").otherwise("y"))
     inside = retrieval.top_k(parts, retrieval.TOKEN, 3, part="part").collect()
     assert all((r.source < "b2") == (r.target < "b2") for r in inside)
@@ -249,7 +270,9 @@ def test_discovery(spark):
     spans = spark.createDataFrame([(0, 100000), (10, 5), (12, 5), (50, 0)], "start long, size long")
     points = spark.createDataFrame([(p,) for p in (10, 13, 17, 50, 99999, 100000, 13)], "p long")
     located = sorted((r.p, r.start) for r in discovery.locate(points, spans, "p", "start", "size", ["start"], bucket=4).fillna(-1).collect())
-    assert located == [(10, 10), (13, 12), (13, 12), (17, 0), (50, 50), (99999, 0), (100000, -1)]
+    assert located == [(10, 10), (13, 0), (13, 0), (17, 0), (50, 50), (99999, 0), (100000, -1)]
+    ordered = spans.withColumn("seq", F.when(F.col("start") == 12, 0).when(F.col("start") == 10, 1).otherwise(2))
+    assert sorted((r.p, r.start) for r in discovery.locate(points, ordered, "p", "start", "size", ["start"], bucket=4, order="seq").fillna(-1).collect()) == [(10, 10), (13, 12), (13, 12), (17, 0), (50, 50), (99999, 0), (100000, -1)]
     t = spark.createDataFrame([(1, 5, 0, 2, "immediate"), (1, 5, 1, None, "register"), (1, 6, 2, None, "memory"), (2, 7, 3, 9, "immediate"), (3, 8, 4, None, "register"), (3, 9, 5, None, "memory")], "source long, callsite long, seq long, target long, operand_kind string").withColumn("resolver", F.lit(None).cast("string"))
     c = discovery.classify_targets(discovery.latest_per_site(t, "seq"), a)
     r = discovery.resolve_indirect(c, spark.createDataFrame([(1, 5, 2), (1, 6, 2), (1, 6, 3)], "source long, callsite long, target long"), spark.createDataFrame([(3, 8)], "source long, callsite long"))
@@ -362,9 +385,63 @@ def test_complete_link(spark):
     assert refused[0] == "budget-refused" and refused[1] is None
 
 
-def filled(spark, rows):
-    """rows: member -> values of slots at offsets 0, 1, ..."""
-    flat = [("f", o, 0, "CALL_TARGET", m, v, "missing" if v is None else "resolved") for m, values in rows.items() for o, v in enumerate(values)]
+def plain_complete_link(edges, lengths, known, verdict, most):
+    """(groups, blocked merges) by one walk over all edges, charging each pair that is compared on demand."""
+    cluster, known, left, blocked = {i: {i} for i in lengths}, dict(known), list(most), []
+    for a, b in edges:
+        if cluster[a] is cluster[b]:
+            continue
+        across = [tuple(sorted((x, y))) for x in cluster[a] for y in cluster[b]]
+        new = [p for p in across if p not in known]
+        need = (len(new), sum(lengths[x] * lengths[y] for x, y in new))
+        if any(n > m for n, m in zip(need, left, strict=True)):
+            blocked.append((a, b, "comparison_budget"))
+            continue
+        left = [m - n for n, m in zip(need, left, strict=True)]
+        known |= {p: verdict(p) for p in new}
+        if all(known[p] == "match" for p in across):
+            both = cluster[a] | cluster[b]
+            cluster |= dict.fromkeys(both, both)
+        else:
+            blocked.append((a, b, "cross_pair_mismatch"))
+    return {i: min(c) for i, c in cluster.items()}, sorted(blocked)
+
+
+def test_complete_link_charges_a_budget(spark):
+    r = random.Random(5)
+    lengths = {f"{c}{k}": r.randint(1, 6) for c in "pqrs" for k in range(7)}
+    table = spark.createDataFrame([ins(i, o) for i, n in lengths.items() for o in range(n)], INS)
+    sizes = table.groupBy("id").agg(F.count("*").alias("size"))
+    found = bodies.blocks(table, sizes)
+    quality = sizes.select("id", F.lit(True).alias("complete_decode"), F.lit(0).alias("opaque_indirect_jumps"))
+    whole = bodies.assemble(sizes, table, found, bodies.cfg_edges(found), quality).cache()
+    rows = [(a, b, r.choice(["match", "match", "unknown"]), round(r.random(), 3), 1.0) for a, b in combinations(sorted(lengths), 2) if a[0] == b[0] and r.random() < 0.45]
+    dec = spark.createDataFrame(rows, "first string, second string, decision string, margin double, structure_score double").cache()
+
+    def verdict(pair):
+        return "match" if int(hashlib.md5("".join(pair).encode()).hexdigest(), 16) % 5 else "unknown"
+
+    def kernel(a, b):
+        good = verdict((a.id, b.id)) == "match"
+        return {"structure_score": 1.0 if good else 0.0, "constant_similarity": 1.0, "data_reference_similarity": None, "both_complete": True, "opaque_indirect_jumps": 0}
+
+    edges = [(a, b) for a, b, d, m, s in sorted(rows, key=lambda x: (-x[3], x[0], x[1])) if d == "match"]
+    known = {(a, b): d for a, b, d, *_ in rows}
+    kinds = set()
+    for most in ((8, None), (13, 130)):
+        policy = S.PairPolicy(max_comparisons=most[0], max_cells=most[1])
+        members, _, blocked = grouping.complete_link(dec, whole, policy, kernel)
+        limits = tuple(float("inf") if m is None else m for m in most)
+        want = plain_complete_link(edges, lengths, known, verdict, limits)
+        got = {x.id: x.least for x in members.collect()}, sorted((x.first, x.second, x.reason) for x in blocked.collect())
+        assert got == want
+        kinds |= {k for *_, k in want[1]}
+    assert kinds == {"comparison_budget", "cross_pair_mismatch"}
+
+
+def filled(spark, cases):
+    """cases: family -> member -> values of slots at offsets 0, 1, ..."""
+    flat = [(f, o, 0, "CALL_TARGET", f"{f}.{m}", v, "missing" if v is None else "resolved") for f, rows in cases.items() for m, values in rows.items() for o, v in enumerate(values)]
     return spark.createDataFrame(flat, "family string, offset int, index int, kind string, id string, value string, state string")
 
 
@@ -376,30 +453,31 @@ def axis_parts(table):
     return found, covered, top, families.basis(found, covered, finer, top)
 
 
-def reason(spark, rows, fragments, bridge=True):
-    found, covered, top, chosen = axis_parts(filled(spark, rows))
-    frag = spark.createDataFrame([(m, k) for k, ms in fragments.items() for m in ms], "id string, fragment string")
-    comp = spark.createDataFrame([("f",)], "component string")
-    bridges = spark.createDataFrame([("f", "x", "y")] if bridge else [], "component string, first string, second string")
-    row = families.rescue_reasons(comp, bridges, found, covered, top, chosen, families.internal_support(found, frag)).first()
-    return row.status, row.reason
-
-
 def test_rescue(spark):
     grid = {f"M{3 * i + j}": [f"a{i}", f"b{j}"] for i in range(2) for j in range(3)}
     split = {"L": ["M0", "M3", "M1"], "R": ["M4", "M2", "M5"]}
-    assert reason(spark, grid, split) == ("accepted", None)
-    assert reason(spark, grid, split, bridge=False) == ("rejected", "no_relation_bridge")
-    assert reason(spark, {k: v for k, v in grid.items() if k != "M5"}, split) == ("rejected", "basis_not_complete")
-    assert reason(spark, {"x": ["a"], "y": ["b"]}, {"L": ["x"], "R": ["y"]}) == ("rejected", "too_few_independent_axes")
     sides = {f"{s}{v}": [s, v] for s in "LR" for v in "01"}
-    assert reason(spark, sides, {"L": ["L0", "L1"], "R": ["R0", "R1"]}) == ("rejected", "axis_without_internal_fragment_support")
-    found, covered, top, chosen = axis_parts(filled(spark, {m: [*v, v[0], "same", None if m == "M0" else "z"] for m, v in grid.items()}))
-    assert {r.n_slots for r in found.where("axis = 1").collect()} == {2} and top.count() == 2
-    assert chosen.first().status == "unique" and covered.first().bijective
-    report = families.axis_report(filled(spark, grid)).first()
-    assert (report.n_slots, report.varying) == (2, 2)
-    assert {r.reason for r in families.excluded_slots(filled(spark, {m: ["s", None] for m in grid})).collect()} == {"invariant", "not_resolved_for_every_member"}
+    cases = {
+        "good": (grid, split, "accepted", None),
+        "apart": (grid, split, "rejected", "no_relation_bridge"),
+        "hole": ({k: v for k, v in grid.items() if k != "M5"}, split, "rejected", "basis_not_complete"),
+        "short": ({"x": ["a"], "y": ["b"]}, {"L": ["x"], "R": ["y"]}, "rejected", "too_few_independent_axes"),
+        "sides": (sides, {"L": ["L0", "L1"], "R": ["R0", "R1"]}, "rejected", "axis_without_internal_fragment_support"),
+        "more": ({m: [*v, v[0], "same", None if m == "M0" else "z"] for m, v in grid.items()}, split, "accepted", None),
+    }
+    table = filled(spark, {f: rows for f, (rows, *_) in cases.items()}).cache()
+    found, covered, top, chosen = axis_parts(table)
+    frag = spark.createDataFrame([(f"{f}.{m}", k) for f, (_, parts, *_) in cases.items() for k, ms in parts.items() for m in ms], "id string, fragment string")
+    comp = spark.createDataFrame([(f,) for f in cases], "component string")
+    bridges = spark.createDataFrame([(f, "x", "y") for f in cases if f != "apart"], "component string, first string, second string")
+    rows = families.rescue_reasons(comp, bridges, found, covered, top, chosen, families.internal_support(found, frag)).collect()
+    assert {r.component: (r.status, r.reason) for r in rows} == {f: (status, why) for f, (*_, status, why) in cases.items()}
+    more = found.where("family = 'more'")
+    assert {r.n_slots for r in more.where("axis = 1").collect()} == {2} and top.where("family = 'more'").count() == 2
+    assert chosen.where("family = 'more'").first().status == "unique" and covered.where("family = 'more'").first().bijective
+    report = {r.family: r for r in families.axis_report(table).collect()}
+    assert (report["good"].n_slots, report["good"].varying, report["more"].n_slots) == (2, 2, 5)
+    assert {r.offset: r.reason for r in families.excluded_slots(table).where("family = 'more'").collect()} == {3: "invariant", 4: "not_resolved_for_every_member"}
 
 
 def test_rescue_components_and_partition(spark):
