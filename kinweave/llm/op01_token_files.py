@@ -1,15 +1,16 @@
 """Operator 1: token files with Elias-Fano document boundaries.
 
-Documents are range-partitioned and sorted by doc_id, encoded with the tokenizers library and written
-as shards: one array of ids of the narrowest width that holds the vocabulary, and two Elias-Fano lists,
-the doc_ids and the document boundaries in that array. An Elias-Fano list of n values up to u takes
-about n * (2 + log2(u / n)) bits; sampled select answers "where does document i start" from it, so
-that no table of 64-bit offsets exists in the file or in memory. Shards are at most ``shard_tokens``
-long (one document may exceed it), so that a reader's memory is bounded.
+Documents are encoded with the tokenizers library, then range-partitioned and sorted by doc_id as ids, which take two
+bytes a token, and written as shards: one array of ids of the narrowest width that holds the vocabulary, and two
+Elias-Fano lists, the doc_ids and the document boundaries in that array. An Elias-Fano list of n values up to u
+takes about n * (2 + log2(u / n)) bits; sampled select answers "where does document i start" from it. The reader
+walks over a shard by windows of the select structure, EVERY documents at a time, and expands no list; the writer
+holds the lengths of its own shard's documents only. Shards are at most ``shard_tokens`` long (one document may
+exceed it), so that memory is bounded on either side.
 
 Defined results: a null text is an empty document (its end id alone); empty tables give no shard and no
-row; repeated rows and equal doc_ids are documents of their own, in the order of their text; rows without a
-doc_id have no place in that order and are not written; extra columns are ignored, and a column named like a result is of no effect.
+row; repeated rows and equal doc_ids are documents of their own, in an order of their texts' digests; rows without a
+doc_id come last, in the same order; extra columns are ignored, and a column named like a result is of no effect.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,8 +78,13 @@ class EliasFano:
             raise IndexError(i)
         return int(self.block(i // EVERY)[i % EVERY])
 
-    def values(self) -> np.ndarray:
-        return np.concatenate([self.block(k) for k in range(len(self.samples))] or [np.empty(0, np.uint64)])
+    def blocks(self, extra: int = 0) -> Iterator[np.ndarray]:
+        """The windows of EVERY values in order; extra = 1 adds the value after each, the next window's first."""
+        now = self.block(0) if self.n else np.empty(0, np.uint64)
+        for k in range(len(self.samples)):
+            after = self.block(k + 1) if k + 1 < len(self.samples) else now[:0]
+            yield np.concatenate((now, after[:extra]))
+            now = after
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
@@ -93,16 +100,18 @@ class EliasFano:
 
 
 class Shard:
-    """One file: magic, id width, EF list of doc_ids less the smallest, EF list of boundaries, ids."""
+    """One file: magic, id width, EF list of doc_ids less the smallest, EF list of boundaries, ids. Documents without a doc_id come last."""
 
     def __init__(self, base: int, doc_ids: EliasFano, bounds: EliasFano, ids: np.ndarray):
         self.base, self.doc_ids, self.bounds, self.ids = base, doc_ids, bounds, ids
 
     @staticmethod
-    def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: list[np.ndarray]) -> bytes:
+        """doc_ids: those of the first documents; counts: of all, which may be more."""
         bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
-        base = int(doc_ids[0])
-        return MAGIC + struct.pack("<Bq", ids.itemsize, base) + EliasFano.of(doc_ids - base).to_bytes() + EliasFano.of(bounds).to_bytes() + ids.tobytes()
+        base = int(doc_ids[0]) if len(doc_ids) else 0
+        head = MAGIC + struct.pack("<Bq", ids[0].itemsize, base) + EliasFano.of(doc_ids - base).to_bytes() + EliasFano.of(bounds).to_bytes()
+        return b"".join([head, *(x.tobytes() for x in ids)])
 
     @classmethod
     def read(cls, raw: bytes) -> Shard:
@@ -119,6 +128,13 @@ class Shard:
         """ids of document i, found by two selects."""
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(doc_ids, boundaries: one more than documents) of EVERY documents at a time; the doc_ids of documents without one are missing."""
+        named = self.doc_ids.blocks()
+        for bounds in self.bounds.blocks(1):
+            if len(bounds) > 1:
+                yield next(named, np.empty(0, np.uint64)).astype(np.int64) + self.base, bounds.astype(np.int64)
+
 
 @cache
 def library(path: str):
@@ -176,41 +192,65 @@ def encode_chunk(c: ragged.Chunk, path: str, end_id: int | None) -> tuple[np.nda
     return out, sizes + tail
 
 
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest (of the text), ids (as bytes of the narrowest width) of each row, in the shared folder."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in ragged.chunks(batch.column(2)):
+                flat, n = encode_chunk(c, tokenizer, end_id)
+                ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n))) * flat.itemsize
+                ids = pa.Array.from_buffers(pa.large_binary(), c.n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.lo : c.hi], batch.column(1)[c.lo : c.hi], ids], names=["doc_id", "digest", "ids"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return store.keep(rows.mapInArrow(encode, "doc_id long, digest long, ids binary"), "token-ids")
+
+
 def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the shards of docs to uri, a folder that all executors reach, and returns their manifest.
 
-    Manifest: shard string (names sort as the documents do), n_docs, n_tokens, n_bytes, boundary_bits.
-    A task that runs again writes the same shards under the same names.
+    Manifest: shard string (names sort as the documents do), n_docs, n_tokens, n_bytes. A task that runs again writes the
+    same shards under the same names. Equal doc_ids, or none, are spread over partitions by their texts' digests.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dtype = np.dtype(library(tokenizer)[2].dtype)
         task = TaskContext.get()
         doc_ids, counts, ids, held, made = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal doc_ids, counts, ids, held, made
-            d, n, flat = np.concatenate(doc_ids), np.concatenate(counts), np.concatenate(ids)
-            raw = Shard.pack(d, n, flat)
+            n = np.concatenate(counts)
+            raw = Shard.pack(np.concatenate(doc_ids), n, ids)
             name = f"shard-{task.partitionId():07d}-{made:05d}.tok"
             store.put_bytes(uri, name, raw, f"{task.taskAttemptId()}")
+            out = pa.RecordBatch.from_pydict({"shard": [name], "n_docs": [len(n)], "n_tokens": [held], "n_bytes": [len(raw)]})
             doc_ids, counts, ids, held, made = [], [], [], 0, made + 1
-            return pa.RecordBatch.from_pydict({"shard": [name], "n_docs": [len(d)], "n_tokens": [len(flat)], "n_bytes": [len(raw)]})
+            return out
 
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in ragged.chunks(batch.column(1), min(4 << 20, shard_tokens)):
-                flat, n = encode_chunk(c, tokenizer, end_id)
-                doc_ids.append(own[c.lo : c.hi])
-                counts.append(n)
-                ids.append(flat)
-                held += len(flat)
-                if held >= shard_tokens:
+            size = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) // dtype.itemsize
+            ends = np.cumsum(size)
+            lo = 0
+            while lo < batch.num_rows:
+                # as many as fill the shard, one at least
+                done = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, done + shard_tokens - held, "right")))
+                some = batch.slice(lo, hi - lo)
+                doc_ids.append(some.column(0).drop_null().to_numpy())
+                counts.append(size[lo:hi])
+                ids.append(np.frombuffer(b"".join(some.column(1).to_pylist()), dtype))
+                held += int(size[lo:hi].sum())
+                lo = hi
+                if held >= shard_tokens or lo < batch.num_rows:
                     yield flush()
-        if doc_ids:
+        if counts:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    last = F.col("doc_id").asc_nulls_last()
+    ordered = encode_documents(docs, tokenizer, end_id, id_col, text_col).repartitionByRange(last, "digest").sortWithinPartitions(last, "digest", "ids").select("doc_id", "ids")
     manifest = ordered.mapInArrow(write, "shard string, n_docs long, n_tokens long, n_bytes long")
     return store.keep(manifest, "token-manifest")
 
@@ -223,14 +263,13 @@ def read_token_files(spark: SparkSession, uri: str, manifest: DataFrame) -> Data
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 shard = Shard.read(content.as_py())
                 name = path.as_py().rsplit("/", 1)[-1]
-                bounds = shard.bounds.values().astype(np.int64)
-                doc_ids = shard.doc_ids.values().astype(np.int64) + shard.base
-                for lo in range(0, len(doc_ids), 4096):
-                    some = bounds[lo : lo + 4097]
-                    block = shard.ids[some[0] : some[-1]].astype("<u4")
-                    crc = [zlib.crc32(block[a:b]) for a, b in zip((some[:-1] - some[0]).tolist(), (some[1:] - some[0]).tolist(), strict=True)]
-                    n = len(some) - 1
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(doc_ids[lo : lo + n]), pa.array(some[:-1]), pa.array(np.diff(some)), pa.array(crc, pa.int64())], names=["shard", "doc_id", "in_shard", "n_tokens", "ids_crc32"])
+                for doc_ids, bounds in shard.windows():
+                    n = len(bounds) - 1
+                    block = shard.ids[bounds[0] : bounds[-1]].astype("<u4")
+                    at = (bounds - bounds[0]).tolist()
+                    crc = [zlib.crc32(block[a:b]) for a, b in zip(at, at[1:], strict=False)]
+                    named = pa.concat_arrays([pa.array(doc_ids, pa.int64()), pa.nulls(n - len(doc_ids), pa.int64())])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), named, pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["shard", "doc_id", "in_shard", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.tok").schema("path string, modificationTime timestamp, length long, content binary")
     if manifest.isEmpty():

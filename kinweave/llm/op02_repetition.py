@@ -118,7 +118,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with all their columns as they are."""
-    at = docs.columns.index(text_col)
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,7 +3,8 @@
 A text's bytes, padded to a multiple of 64, are the samples of an 8-bit mono WAV file, held in a binary
 column of a table in the shared folder. From the column read back, frames are transformed, spectral
 peaks picked, and each peak paired with the next few: (frequency, frequency, distance in frames) is a
-fingerprint and the frame its time code; both are stored as arrays in time order.
+fingerprint and the frame its time code; both are stored as arrays in time order, in a second table of the
+shared folder, from which the digests of the query are read.
 
 Defined results: a null or empty text is 64 zero bytes; equal texts have equal media and features; the
 last frame is padded with silence; nulls in doc_id and repeated rows
@@ -33,8 +34,9 @@ HOP = 128
 PEAKS = 2
 PARTNERS = 3
 REACH = 8
-#: Frames transformed at a time.
+#: Frames transformed at a time, and documents whose arrays are held at a time.
 BLOCK = 4096
+ROWS = 64
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -107,37 +109,41 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def fingerprint_media(media: DataFrame) -> DataFrame:
-    """doc_id, times array<int>, prints array<int> of rows with a media column."""
+    """What is read back of each row's media, with the fingerprints as time-coded arrays, as a table in the shared folder.
+
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, times array<int>, prints array<int>.
+    """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                codes, prints = fingerprints(from_wav(batch.column(1)[i].as_py()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.array([codes], pa.list_(pa.int32())), pa.array([prints], pa.list_(pa.int32()))], names=["doc_id", "times", "prints"])
-
-    return media.select("doc_id", "media").mapInArrow(make, "doc_id long, times array<int>, prints array<int>")
+            for lo in range(0, batch.num_rows, ROWS):
+                some = batch.slice(lo, ROWS)
+                rows, codes, prints = [], [], []
+                for i in range(some.num_rows):
+                    stored = some.column(2)[i].as_py()
+                    payload = from_wav(stored)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest()))
+                    times, found = fingerprints(payload)
+                    codes.append(times)
+                    prints.append(found)
+                columns = [pa.array(v) for v in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *columns, _lists(codes), _lists(prints)], names=[*names, "times", "prints"])
 
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, times array<int>, prints array<int>"
+    return store.keep(media.select("doc_id", "n_bytes", "media").mapInArrow(make, schema), "fingerprints")
 
-def digest_media(media: DataFrame) -> DataFrame:
-    """The stored columns' digests: what op4's contract names; feature digests the time-coded arrays."""
 
-    def row(doc_id, n_bytes: int, stored: bytes) -> tuple:
-        payload = from_wav(stored)
-        codes, prints = fingerprints(payload)
-        feature = f"{len(prints)}:{hashlib.sha256(codes.astype('<i4').tobytes() + prints.astype('<i4').tobytes()).hexdigest()}"
-        return doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(prints)
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))
 
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_prints"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [row(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_prints long"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(digest, schema)
+def digest_fingerprints(found: DataFrame) -> DataFrame:
+    """What op4's contract names: the media's digests, and feature, a digest of the stored arrays."""
+    said = F.concat_ws(";", F.array_join("times", ","), F.array_join("prints", ","))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", F.size("prints"), F.sha2(said, 256)).alias("feature"), F.size("prints").cast("long").alias("n_prints"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_media(store_media(store.documents(spark, sf_dir)))
+    return digest_fingerprints(fingerprint_media(store_media(store.documents(spark, sf_dir))))

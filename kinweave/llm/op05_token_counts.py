@@ -36,6 +36,41 @@ BODY[[0x20, 0x0A]] = False
 FAR = np.int64(1) << 60
 
 
+#: Fixed value: the type of a user-defined piece in a model file.
+USER_DEFINED = 4
+
+
+def piece_types(path: str) -> set[int]:
+    """Types of the pieces in a model file (1: normal, where none is told); pieces are its field 1, a piece's type is field 3."""
+
+    def fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            value = shift = 0
+            while True:
+                byte, at = raw[at], at + 1
+                value |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    return value
+
+        while at < len(raw):
+            key = number()
+            wire = key & 7
+            if wire == 0:
+                yield key >> 3, number()
+                continue
+            size = number() if wire == 2 else {1: 8, 5: 4}[wire]
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+    with open(path, "rb") as f:
+        return {dict(fields(piece)).get(3, 1) for name, piece in fields(f.read()) if name == 1}
+
+
+
 class Model:
     """Symbols, pair ranks and blank runs of a sentencepiece BPE model."""
 
@@ -43,6 +78,8 @@ class Model:
         import sentencepiece
 
         own = sentencepiece.SentencePieceProcessor(model_file=path)
+        if USER_DEFINED in piece_types(path):
+            raise ValueError("user-defined pieces are matched before any merge, which is not done here")
         if own.normalize("a Ａ") != f"{MARK}a{MARK}Ａ":
             raise ValueError("the model must normalize by identity and put a blank mark first")
         rank = {own.id_to_piece(i): -own.get_score(i) for i in range(own.vocab_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i) or own.is_unused(i))}

@@ -91,10 +91,10 @@ def share(nodes: DataFrame, family: list[str], key: str) -> DataFrame:
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """Each leaf (domain, lang, source, tokens) with budget, full_epochs and rest, the tokens of the epoch after those."""
     leaves = leaves.withColumn("capacity", F.col("tokens") * mix.max_epochs)
-    total = Window.partitionBy()
-    top = leaves.withColumn("_all", F.sum("tokens").over(total))
-    budget = F.lit(mix.budget).cast("long") if mix.budget is not None else F.first("_all")
-    nodes = top.groupBy("domain").agg(F.sum("capacity").alias("capacity"), budget.alias("budget")).withColumn("weight", _weight(mix.domain_weights, "domain"))
+    # a handful of domains, each summed before they meet
+    nodes = leaves.groupBy("domain").agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("_tokens"))
+    budget = F.lit(mix.budget).cast("long") if mix.budget is not None else F.sum("_tokens").over(Window.partitionBy())
+    nodes = nodes.withColumn("budget", budget).drop("_tokens").withColumn("weight", _weight(mix.domain_weights, "domain"))
     nodes = share(nodes, [], "domain").select("domain", F.col("own").alias("budget"))
     nodes = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).join(nodes, "domain").withColumn("weight", _weight(mix.lang_weights, "lang"))
     nodes = share(nodes, ["domain"], "lang").select("domain", "lang", F.col("own").alias("budget"))
@@ -132,14 +132,18 @@ def cuts(docs: DataFrame, mix: Mix) -> DataFrame:
 def mix_documents(docs: DataFrame, mix: Mix | None = None, epoch_col: str | None = None) -> DataFrame:
     """The selected rows of docs (doc_id, lang, source, text and whatever else), once for each epoch that takes them."""
     mix = mix or Mix()
-    names = {k: f"_mix_{k}" for k in LEVELS}
-    where = cuts(docs, mix).select(*(F.col(k).alias(names[k]) for k in LEVELS), F.col("full_epochs").alias("_mix_full"), F.col("cut").alias("_mix_cut"))
+    mark = "_mix_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark = f"_{mark}"
+    names = {k: f"{mark}{k}" for k in LEVELS}
+    full, cut, epoch, epochs = (f"{mark}{x}" for x in ("full", "cut", "epoch", "epochs"))
+    where = cuts(docs, mix).select(*(F.col(k).alias(names[k]) for k in LEVELS), F.col("full_epochs").alias(full), F.col("cut").alias(cut))
     rows = docs.select("*", *(c.alias(names[k]) for k, c in leaf_columns(mix).items())).join(where, list(names.values()))
-    more = (order_key(mix, F.col("_mix_full"), F.col("doc_id")) <= F.col("_mix_cut")).cast("int")
-    rows = rows.withColumn("_mix_epochs", (F.col("_mix_full") + more).cast("int")).where("_mix_epochs > 0")
-    rows = rows.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_epochs") - 1)))
+    more = (order_key(mix, F.col(full), F.col("doc_id")) <= F.col(cut)).cast("int")
+    rows = rows.withColumn(epochs, (F.col(full) + more).cast("int")).where(F.col(epochs) > 0)
+    rows = rows.withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col(epochs) - 1)))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*own, *([F.col("_mix_epoch").alias(epoch_col)] if epoch_col else []))
+    return rows.select(*own, *([F.col(epoch).alias(epoch_col)] if epoch_col else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,33 +1,32 @@
 """Operator 8: URL filters by listed rules and by mined association rules.
 
 Listed rules (host, path) come first: a rule fits its host and all subdomains if the URL's path starts
-with the rule's, and the longest fitting rule decides. Token combinations of URLs (host labels, domain,
-language and other path parts, endings, query keys) are mined together with the label of each
-labelled URL; rules "combination, therefore label" are kept by support and confidence, and pruned where
-a shorter rule already says the same as surely. Each kept rule is indexed under its rarest token; a URL looks
-up its tokens in that index and checks the rest of each rule found. The surest rule decides, block before
-allow if they are equally sure, and a URL that no rule matches is allowed.
-
-All frequent tokens of all labelled URLs are mined, and rules of any length, level by level: a combination
-is counted, exactly, if each part of it reaches the support and each of its tokens leaves out some URL of
-another label. One that doesn't is never surer than a shorter one, nor is any longer one, so the rules
-that are left are those of FP-growth on the whole URLs after pruning, and tokens that always come together
-(such as the keys of one long query) don't multiply. All URLs are matched by all their tokens.
+with the rule's, and the longest fitting rule decides. What they leave open is judged by rules that are mined
+from labels, and these come from elsewhere: from a table of labelled URLs, or, where there is none, from words
+of a fixed list among the parts of host names, as public block lists hold them. The label goes to the URL; what is
+mined are its other traits, host labels, domain, language and other path parts, endings and query keys, so
+that rules reach URLs in whose hosts no such word stands.
+
+FP-growth (Spark's) mines the combinations of tokens that come with a label; rules "combination, therefore label" are
+kept by support and confidence, and pruned where a rule of some of their tokens says the same as surely. Tokens
+that stand in the same URLs, each of them, are one item, so that the keys of one long query don't multiply.
+Each kept rule is indexed under its rarest item; a URL looks up its items in that index and checks the rest of
+each rule found. The surest rule decides, block before allow if they are equally sure, then the one of more
+support; a URL that no rule matches is allowed.
+
+Every token of every labelled URL is mined, and rules of any length. Tokens that are frequent and many in one URL,
+but not always together, still multiply, as they do for every method that finds all frequent combinations.
 
 Defined results: a null URL or one without '://' has an empty host and path, no tokens and is allowed;
-repeated rows are judged alike; with no labelled URL nothing is mined; an empty table gives no row; extra
-columns are ignored.
+repeated rows are judged alike; labels other than block and allow, and null ones, count as neither; with no
+labelled URL nothing is mined; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +37,10 @@ LISTED = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.co
 #: Share of the labelled URLs that hold a combination and its label; share of those with the combination that have the label.
 SUPPORT = 0.005
 CONFIDENCE = 0.9
+VERDICTS = ("block", "allow")
+RULES = "items array<string>, verdict string, confidence double, support double"
+#: Words of host names that public block lists hold.
+WORDS = ("ads", "adult", "bet", "bets", "casino", "malware", "phishing", "pills", "poker", "porn", "spam", "tracker", "viagra", "xxx")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,122 +84,94 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_distinct(tokens)).otherwise(F.array().cast("array<string>"))
 
 
-def counted(rows: DataFrame, tokens: list[str], labels: list[str], sets: np.ndarray, least: int) -> dict[tuple, np.ndarray]:
-    """How many of rows (tokens, label) hold each of sets (rows of token numbers, all of one length), by label and, last, of other or no label.
+def suspicious(host: Column, words: tuple[str, ...] = WORDS) -> Column:
+    """Whether a word of the list is a whole part of the host, between dots and hyphens."""
+    return F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*map(F.lit, words)))
 
-    Only sets that ``least`` rows of one of the labels hold are returned.
+
+def items(rows: DataFrame, least: int) -> DataFrame:
+    """token, item: of the tokens that ``least`` rows (row, tokens) hold, those that the same rows hold have one item, the least of them.
+
+    Their number is bounded by the support: at most the mean number of tokens in a row over it. Rows are told apart by
+    two sums of 64-bit hashes.
     """
-    names = [f"n{i}" for i in range(len(labels) + 1)]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, kinds = pa.array(tokens, pa.string()), pa.array(labels, pa.string())
-        total = np.zeros((len(names), len(sets)), np.int64)
-        step = max(1, (1 << 17) // sets.shape[1])
-        for batch in batches:
-            kind = pc.fill_null(pc.index_in(batch.column(1), value_set=kinds), len(labels)).to_numpy(zero_copy_only=False)
-            code = pc.fill_null(pc.index_in(pc.list_flatten(batch.column(0)), value_set=known), len(tokens)).to_numpy(zero_copy_only=False)
-            row = pc.list_parent_indices(batch.column(0)).to_numpy(zero_copy_only=False)
-            for k in range(len(names)):
-                own = np.flatnonzero(kind == k)
-                for lo in range(0, len(own), 4096):
-                    some = own[lo : lo + 4096]
-                    held = np.zeros((len(tokens) + 1, -(-len(some) // 64) * 64), bool)
-                    here = np.isin(row, some)
-                    held[code[here], np.searchsorted(some, row[here])] = True
-                    bits = np.packbits(held, axis=1).view(np.uint64)
-                    wide = max(1, step // bits.shape[1])
-                    for at in range(0, len(sets), wide):
-                        both = np.bitwise_and.reduce(bits[sets[at : at + wide]], axis=1)
-                        total[k, at : at + wide] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
-        found = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array(t[found]) for t in total)], names=["set", *names])
-
-    sums = rows.mapInArrow(count, ", ".join(f"{x} long" for x in ["set", *names])).groupBy("set").agg(*(F.sum(x).alias(x) for x in names))
-    found = sums.where(" OR ".join(f"{x} >= {least}" for x in names[:-1])).collect()
-    return {tuple(sets[r["set"]].tolist()): np.array([r[x] for x in names]) for r in found}
-
-
-def longer(sets: set[tuple]) -> set[tuple]:
-    """The sets of one token more, all of whose parts of one token less are in sets."""
-    groups: dict[tuple, list[int]] = {}
-    for x in sorted(sets):
-        groups.setdefault(x[:-1], []).append(x[-1])
-    made = (head + pair for head, tails in groups.items() for pair in combinations(tails, 2))
-    return {x for x in made if all(x[:i] + x[i + 1 :] in sets for i in range(len(x) - 2))}
-
-
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules (tokens array<string>, verdict, confidence, support) from rows (tokens, label)."""
+    sums = [F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    often = rows.select("row", F.explode(F.array_distinct("tokens")).alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least)
+    first = often.groupBy("n", "s1", "s2").agg(F.min("token").alias("item"))
+    return store.keep(often.join(first, ["n", "s1", "s2"]).select("token", "item"), "url-items")
+
+
+def in_items(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """row, items array<string> of the rows (row, tokens) that hold any known token."""
+    spread = rows.select("row", F.explode("tokens").alias("token"))
+    return spread.join(F.broadcast(known), "token").groupBy("row").agg(F.collect_set("item").alias("items"))  # items() bounds known
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """(rules: items array<string>, verdict, confidence, support; known: token, item) of rows (tokens, label)."""
     spark = labelled.sparkSession
-    schema = "tokens array<string>, verdict string, confidence double, support double"
-    rows = store.keep(labelled.select("tokens", "label"), "url-rows")
+    rows = store.keep(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "label"), "url-rows")
     n = rows.count()
-    if not n:
-        return spark.createDataFrame([], schema)
     least = max(1, math.ceil(support * n))
-    # tokens and labels below the support are in no rule that reaches it; what comes back is bounded by it
-    often = rows.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").count().where(F.col("count") >= least)
-    tokens = sorted(r["token"] for r in often.select("token").where("token IS NOT NULL").collect())
-    labels = sorted(r["label"] for r in rows.groupBy("label").count().where(F.col("count") >= least).collect() if r["label"] is not None)
-    rules = []
-    level = {(i,) for i in range(len(tokens))} if labels else set()
-    alive: list[set[tuple]] = [level] * len(labels)
-    before: dict[tuple, np.ndarray] = {}
-    surest: list[dict[tuple, float]] = [{} for _ in labels]
-    while level:
-        counts = counted(rows, tokens, labels, np.array(sorted(level)), least)
-        for k, label in enumerate(labels):
-            kept, sure = set(), {}
-            for x in alive[k]:
-                c = counts.get(x)
-                if c is None or c[k] < least:
-                    continue
-                parts = [x[:i] + x[i + 1 :] for i in range(len(x))] if len(x) > 1 else []
-                # a token that no row of another label lacks makes neither this rule nor a longer one surer
-                if any(before[y].sum() - before[y][k] == c.sum() - c[k] for y in parts):
-                    continue
-                kept.add(x)
-                share, best = float(c[k] / c.sum()), max((surest[k][y] for y in parts), default=0.0)
-                # a rule is of no use beside a shorter one, of some of its tokens, that says the same as surely
-                if share >= confidence and share > best:
-                    rules.append(([tokens[i] for i in x], label, share, float(c[k] / n)))
-                sure[x] = max(best, share if share >= confidence else 0.0)
-            alive[k], surest[k] = longer(kept), sure
-        before, level = counts, set().union(*alive)
-    return store.keep(spark.createDataFrame(rules, schema), "url-rules")
-
-
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, path, tokens) with mined, the verdict of the surest matching rule. urls must have distinct rows."""
-    spread = rules.select(F.posexplode("tokens").alias("k", "token"), "tokens")
-    # how often each token heads a rule would differ; the rarest token of a rule is in the fewest mined rows
-    rarity = spread.groupBy("token").agg(F.count("*").alias("uses"))
-    heads = spread.join(rarity, "token").groupBy("tokens").agg(F.min(F.struct("uses", "token")).getField("token").alias("head"))
-    index = store.keep(rules.join(heads, "tokens").select(F.col("head").alias("token"), F.col("tokens").alias("need"), "verdict", "confidence", "support"), "url-index")
-    looked = urls.select("host", "path", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("need", "tokens")) == 0)
+    known = items(rows, least)
+    held = in_items(rows, known).join(rows.select("row", "label"), "row")
+    # a label is an item of its own kind: no token begins with a line break
+    mark = F.when(F.col("label").isin(*VERDICTS), F.array(F.concat(F.lit("\n"), "label"))).otherwise(F.array().cast("array<string>"))
+    sets = store.keep(held.select(F.concat("items", mark).alias("items")), "url-sets")
+    m = sets.count()
+    if not m:
+        return spark.createDataFrame([], RULES), known
+    found = FPGrowth(minSupport=min(1.0, least / m * (1 - 1e-12)), numPartitions=max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).fit(sets).freqItemsets
+    names = F.array_sort(F.filter("items", lambda x: ~F.startswith(x, F.lit("\n"))))
+    found = store.keep(found.where(F.size(names) > 0).select(names.alias("items"), F.substring(F.try_element_at(F.filter("items", lambda x: F.startswith(x, F.lit("\n"))), F.lit(1)), 2, 99).alias("label"), F.col("freq")), "url-itemsets")
+    every = found.where("label IS NULL").select("items", F.col("freq").alias("total"))
+    sure = found.where("label IS NOT NULL").join(every, "items").select("items", F.col("label").alias("verdict"), (F.col("freq") / F.col("total")).alias("confidence"), (F.col("freq") / F.lit(n)).alias("support"))
+    rules = store.keep(sure.where((F.col("confidence") >= confidence) & (F.col("support") * n >= least - 0.5)), "url-sure")
+    return store.keep(pruned(rules), "url-rules"), known
+
+
+def indexed(rules: DataFrame) -> DataFrame:
+    """head, need, verdict, confidence, support: each rule under that of its items which the fewest rules have."""
+    spread = rules.select(F.explode("items").alias("item"), "items", "verdict", "confidence", "support")
+    uses = spread.groupBy("item").agg(F.count("*").alias("uses"))
+    by = spread.join(uses, "item").groupBy(F.col("items").alias("need"), "verdict", "confidence", "support")
+    return by.agg(F.min(F.struct("uses", "item")).getField("item").alias("head"))
+
+
+def pruned(rules: DataFrame) -> DataFrame:
+    """The rules beside which no rule of some of their items says the same as surely; found by the same index as URLs."""
+    short = indexed(rules).select("head", "need", F.col("verdict").alias("_v"), F.col("confidence").alias("_c"))
+    looked = rules.select("*", F.explode("items").alias("head")).join(short, "head").where((F.col("verdict") == F.col("_v")) & (F.col("_c") >= F.col("confidence")))
+    idle = looked.where((F.size("need") < F.size("items")) & (F.size(F.array_except("need", "items")) == 0)).select("items", "verdict").distinct()
+    return rules.join(idle, ["items", "verdict"], "left_anti")
+
+
+def match(urls: DataFrame, rules: DataFrame, known: DataFrame) -> DataFrame:
+    """row, mined: the verdict of the surest rule that each of urls (row, tokens) matches, for those that match one."""
+    index = store.keep(indexed(rules), "url-index")
+    held = in_items(urls, known)
+    looked = held.select("row", "items", F.explode("items").alias("head")).join(index, "head").where(F.size(F.array_except("need", "items")) == 0)
     best = F.max(F.struct("confidence", (F.col("verdict") == "block").alias("block"), "support")).getField("block")
-    return looked.groupBy("host", "path", "tokens").agg(best.alias("_block")).select("host", "path", "tokens", F.when(F.col("_block"), "block").otherwise("allow").alias("mined"))
+    return looked.groupBy("row").agg(best.alias("_block")).select("row", F.when(F.col("_block"), "block").otherwise("allow").alias("mined"))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=LISTED, labelled: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=LISTED, labelled: DataFrame | None = None, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict, mined of each row. labelled: (url, label block or allow).
 
-    Without labels of their own, the listed rules are the labels: URLs that they block are examples of block, and
-    all others of allow, so that no combination is condemned that stands in URLs which nothing speaks against.
+    Without labelled URLs, those of pages whose hosts hold a listed word are examples of block and all others of allow.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
-    host, path = host_and_path(F.col("url"))
-    rows = rows.withColumn("host", host).withColumn("path", path)
+    parts = lambda df: df.withColumn("host", host_and_path(F.col("url"))[0]).withColumn("path", host_and_path(F.col("url"))[1]).withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
+    rows = parts(pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url")))
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("listed", verdict).withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
-    rows = store.keep(rows.drop("url"), "url-pages")
+    rows = store.keep(rows.withColumn("rule", rule).withColumn("listed", verdict).drop("url"), "url-pages")
     if labelled is None:
-        examples = rows.where("size(tokens) > 0").select("tokens", F.coalesce("listed", F.lit("allow")).alias("label"))
+        examples = rows.where("size(tokens) > 0").select("tokens", F.when(suspicious(F.col("host")), "block").otherwise("allow").alias("label"))
     else:
-        h, p = host_and_path(F.col("url"))
-        examples = labelled.withColumn("host", h).withColumn("path", p).select(url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "label")
-    mined = match(rows.where("listed IS NULL AND size(tokens) > 0").select("host", "path", "tokens").distinct(), mine(examples))
-    out = rows.join(mined, ["host", "path", "tokens"], "left")
+        examples = parts(labelled.select(F.coalesce("url", F.lit("")).alias("url"), "label")).select("tokens", "label")
+    found, known = mine(examples, support, confidence)
+    mined = store.keep(match(rows.where("listed IS NULL AND size(tokens) > 0").select("row", "tokens"), found, known), "url-mined")
+    # by a merge join at every size: a verdict a row isn't a small table
+    out = rows.drop("tokens").join(mined.hint("merge"), "row", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", "mined", F.lit("allow")).alias("verdict"), "mined")
 
 

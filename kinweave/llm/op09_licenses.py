@@ -32,10 +32,28 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial",)),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("commons attribution 4 0",)),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license",)),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license as published by the free software foundation either version 3",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("neither the name of",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify and or distribute this software",)),
+    ("apache-2", "terms and conditions for use reproduction and distribution definitions license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document", ("license shall mean the terms and conditions for use reproduction and distribution",)),
+    ("gpl-3", "the gnu general public license is a free copyleft license for software and other kinds of works", ("free copyleft license for software and other kinds of works",)),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license as published by the free software foundation either version 2",)),
+    ("lgpl-3", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", ("gnu lesser general public license as published by the free software foundation either version 3",)),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ("gnu affero general public license as published by the free software foundation either version 3",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("any person or organization obtaining a copy",)),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", ("dedicated the work to the public domain",)),
 )
+#: Identifiers of the SPDX list, as words, and their labels; a tag names one behind "SPDX-License-Identifier:".
+SPDX = (
+    ("mit", "mit"), ("apache-2", "apache 2 0"), ("gpl-3", "gpl 3 0 only"), ("gpl-3", "gpl 3 0 or later"), ("gpl-2", "gpl 2 0 only"), ("gpl-2", "gpl 2 0 or later"), ("lgpl-3", "lgpl 3 0 only"), ("lgpl-3", "lgpl 3 0 or later"),
+    ("lgpl-2.1", "lgpl 2 1 only"), ("lgpl-2.1", "lgpl 2 1 or later"), ("agpl-3", "agpl 3 0 only"), ("agpl-3", "agpl 3 0 or later"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("mpl-2", "mpl 2 0"), ("isc", "isc"), ("unlicense", "unlicense"),
+    ("boost-1", "bsl 1 0"), ("cc0", "cc0 1 0"), ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("cc-by-nc", "cc by nc 4 0"),
+)
+TAGS = tuple((label, f"spdx license identifier {name}", (f"spdx license identifier {name}",)) for label, name in SPDX)
 #: The same for lines that grant a licence by its name and version.
 GRANTS = tuple(
     (label, f"licensed under {'' if name.startswith(('cc ', 'creative ')) else 'the '}{name}", (name,))
@@ -54,6 +72,7 @@ GRANTS = tuple(
     )
     for name in names
 )
+ALL = TEMPLATES + GRANTS + TAGS
 #: Share of a template's IDF that must agree along one alignment.
 SHARE = 0.6
 WORD = np.zeros(256, bool)
@@ -63,7 +82,7 @@ WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 class Index:
     """Vocabulary, postings and phrases of a list of templates. IDF is given or, before the count, equal."""
 
-    def __init__(self, templates=TEMPLATES + GRANTS, base=BASE, df: dict[str, int] | None = None, n_docs: int = 0):
+    def __init__(self, templates=ALL, base=BASE, df: dict[str, int] | None = None, n_docs: int = 0):
         self.labels = [t[0] for t in templates]
         texts = [t[1].split() for t in templates] + [k.split() for t in templates for k in t[2]] + [b[0].split() for b in base]
         self.vocabulary = sorted({w for t in texts for w in t})
@@ -124,16 +143,10 @@ class Index:
         place, bounds = place[order], np.searchsorted(words[at][order], np.arange(len(self.vocabulary) + 1))
         size = len(words) + (n + 1) * gap
         for t, template in enumerate(self.templates):
-            share, last, agreed = np.zeros(size), np.full(size, -1, np.int32), np.zeros(size, bool)
-            for w, p in sorted(zip(template.tolist(), range(len(template)), strict=True)):
-                spot = place[bounds[w] : bounds[w + 1]] - p
-                share[spot] += self.idf[w]
-                agreed[spot] |= (last[spot] >= 0) & (last[spot] != w)
-                last[spot] = w
-            spot = np.flatnonzero(agreed if len(np.unique(template)) > 1 else last >= 0)
+            spot, share = self.agreements(template, place, bounds, size)
             if not len(spot):
                 continue
-            text, share = np.searchsorted(begin - gap + 1, spot, "right") - 1, share[spot] / self.mass[t]
+            text, share = np.searchsorted(begin - gap + 1, spot, "right") - 1, share / self.mass[t]
             high = share >= SHARE
             np.maximum.at(best, text[~high], share[~high])
             for i in np.unique(text[high]).tolist():
@@ -142,6 +155,32 @@ class Index:
                     best[i] = max(best[i], share[high & (text == i)].max())
         return own, best
 
+    def agreements(self, template: np.ndarray, place: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(alignments in which two different words of the template agree, or its only one; the IDF that agrees in each).
+
+        Where few words of the chunk are in the template its hits are sorted, else each alignment has a cell.
+        """
+        pairs = sorted(zip(template.tolist(), range(len(template)), strict=True))
+        many = pairs[0][0] != pairs[-1][0]
+        counts = np.array([bounds[w + 1] - bounds[w] for w, _ in pairs])
+        if counts.sum() * 4 < size:
+            spot = np.concatenate([place[bounds[w] : bounds[w + 1]] - p for w, p in pairs])
+            word = np.repeat([w for w, _ in pairs], counts)
+            at, first, where = np.unique(spot, return_index=True, return_inverse=True)
+            share = np.bincount(where, self.idf[word], minlength=len(at)) if len(at) else np.zeros(0)
+            agreed = np.zeros(len(at), bool)
+            agreed[where[word != word[first][where]]] = True
+            keep = agreed if many else np.ones(len(at), bool)
+            return at[keep], share[keep]
+        share, last, agreed = np.zeros(size), np.full(size, -1, np.int32), np.zeros(size, bool)
+        for w, p in pairs:
+            spot = place[bounds[w] : bounds[w + 1]] - p
+            share[spot] += self.idf[w]
+            agreed[spot] |= (last[spot] >= 0) & (last[spot] != w)
+            last[spot] = w
+        spot = np.flatnonzero(agreed if many else last >= 0)
+        return spot, share[spot]
+
     def scan(self, c: ragged.Chunk) -> list[tuple[int, int, int | None, int | None, str, str, float]]:
         """n_words, n_base, first_word, last_word, base_labels, labels, score of each text."""
         words, first = self.numbers(c)
@@ -162,7 +201,7 @@ class Index:
         return out
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text", templates=TEMPLATES + GRANTS, base=BASE) -> tuple[dict[str, int], int]:
+def document_frequencies(docs: DataFrame, text_col: str = "text", templates=ALL, base=BASE) -> tuple[dict[str, int], int]:
     """In how many of all documents each word of the templates stands, and how many documents there are.
 
     What comes back has a row for each word of the fixed templates.
@@ -186,7 +225,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", templates=TEMP
     return {w: got.get(i, 0) for i, w in enumerate(vocabulary)}, got.get(-1, 0)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES + GRANTS, base=BASE) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=ALL, base=BASE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row."""
     df, n_docs = document_frequencies(docs, text_col, templates, base)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]

@@ -3,31 +3,12 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinweave.sources.tables import keep, new_dir, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a local one of this session."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kinweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_dir(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
-    path = new_dir(df.sparkSession, what)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "keep", "new_dir", "put_bytes", "shared_dir"]
 
 
 def put_bytes(uri: str, name: str, content: bytes, attempt: str) -> None:

@@ -56,6 +56,32 @@ def test_one_row_of_each_group_stays(spark, sf):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), sf).count() == 0
 
 
+def awkward(spark, rows):
+    """Documents with nulls, columns that clash with what operators call theirs, and rows twice."""
+    return spark.createDataFrame([(i, t, s, lang, "e", 1, None) for i, t, s, lang in rows], "doc_id long, text string, source string, lang string, _mix_epoch string, n_words int, component_id string")
+
+
+def test_stages_take_awkward_rows(spark, sf):
+    r = random.Random(31)
+    long, plain = prose(r, 9000), [prose(r, 40) for _ in range(6)]
+    rows = [(1, None, "src1", "en"), (2, "", None, None), (3, " \n ", "src1", "en"), (None, plain[0], "src1", None), (4, plain[1], None, "en"), (4, plain[1], None, "en"), (5, plain[2], "src1", "en"), (6, plain[2] + " end", "src1", "en"), (7, long, "src2", "de"), (8, "short", "src1", "en"), (None, None, None, None)]
+    docs = awkward(spark, rows).repartition(3)
+    good = corpus_pipeline.quality(spark, docs, sf)
+    assert good.columns == docs.columns
+    assert sorted((x.doc_id or 0, x.text) for x in good.collect()) == sorted((i or 0, t) for i, t, *_ in rows if t and len(t.split()) >= 20)
+    apart = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert apart.columns == docs.columns
+    assert sorted((x.doc_id or 0, x.text or "") for x in apart.collect()) == sorted([(0, ""), (0, plain[0]), (1, ""), (2, ""), (3, " \n "), (4, plain[1]), (5, plain[2]), (7, long), (8, "short")])
+    mixed = corpus_pipeline.mix(spark, docs, sf)
+    assert mixed.columns == docs.columns
+    seen = Counter(x.doc_id for x in mixed.collect())
+    assert set(seen) <= {i for i, *_ in rows} and seen[4] % 2 == 0
+    coded = corpus_pipeline.encode(spark, docs, sf).collect()
+    assert len(coded) == len(rows) and {x.doc_id: x.n_tokens for x in coded}[1] == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_registration():
     names = __spark_entry__.queries()
     assert "pipeline" in names
