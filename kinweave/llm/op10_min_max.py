@@ -9,13 +9,13 @@ start. What follows is linear in nodes and bands but for the last step:
    node of a bucket is compared with the hub, on full sets, and linked or not. Copies of one text meet
    in one hub, whatever their number, and never as all pairs.
 2. Links are contracted to components by alternating large and small stars.
-3. Nodes around one hub that are still in different components are settled by their rarest shingles: two
-   sets as similar as that share one among the first few of either in any common order, and in the order of rising
-   frequency these are those that hardly any other text has. So pages that share a template and differ in the rest
-   don't meet, however many share a bucket. Shingles that several components have among their first bring
-   their nodes together: a few nodes as pairs across components, more in blocks of bounded size spread over the
-   cluster, a large component in blocks of its own, which don't meet. Every pair that shares a band is
-   settled: no cap, no sample.
+3. Nodes around one hub that are still in different components are settled, on full sets. Where they are few
+   they meet in blocks of bounded size, spread over the cluster, large components in blocks of their own, which don't
+   meet. Where they are many they are first brought together by their rarest shingles: two sets as similar as that share
+   one among the first few of either in any common order, and by rising frequency these are those that
+   hardly any other text has. So pages that share a template and differ in the rest don't meet, however many
+   share a bucket. A shingle that several components have among their first makes their nodes meet, a few as
+   pairs across components, more in blocks. Every pair that shares a band is settled: no cap, no sample.
 
 The bands are chosen for the threshold so that a pair at the threshold shares none with a probability
 below 1e-8. Similarity is exact: 100 * intersection >= percent * union of sets of 64-bit shingle hashes.
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinweave.operators import graph
 
@@ -48,9 +49,8 @@ MISS = 1e-8
 BLOCK = 128
 #: The pile of the components that have few nodes in a group; less than any node.
 MIXED = -(1 << 63)
-#: Classes of shingle hashes whose frequencies are told apart.
-CELL_BITS = 20
-CELLS = 1 << CELL_BITS
+#: Nodes around a hub that meet in blocks; more are first brought together by rare shingles.
+FEW = 16 * BLOCK
 #: Nodes with a shingle in common that meet as pairs; more meet in blocks.
 PAIRS = 16
 #: Cells of a dense block comparison.
@@ -126,71 +126,59 @@ def components(edges: DataFrame) -> DataFrame:
     return graph.stars(edges).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def frequencies(texts: DataFrame, size: int) -> np.ndarray:
-    """In how many of texts (text) a shingle stands, by CELLS classes of its hash: never less than its own number.
+def rare_groups(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """hub (shingles of the same nodes), node, component, n_shingles, at, n: nodes (node, component) by those of their rarest shingles that several components have.
 
-    What comes back has a row a class at most, whatever the number of texts.
+    Shingles are counted over all the nodes. In the order of rising frequency those that stand in one set alone come
+    first, so that only their number is needed; at is a shingle's place in that order.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(CELLS, np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in ragged.chunks(batch.column(0), table=ragged.LOWER):
-                seen += np.bincount(_cell(np.concatenate(shingles.sets(c, size))), minlength=CELLS)
-        cell = np.flatnonzero(seen)
-        for lo in range(0, len(cell), 1 << 16):
-            some = cell[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some])], names=["cell", "n"])
-
-    rows = texts.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int32)
-    out[rows.column("cell").to_numpy()] = np.minimum(rows.column("n").to_numpy(), np.iinfo(np.int32).max)
-    return out
-
-
-def _cell(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
-def prefix(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    """Of a set's shingles, by rising frequency, those of which a similar enough set has one among its own; without those that stand in this set alone."""
-    n = len(s) - -(-len(s) * percent // 100) + 1
-    of = often[_cell(s)]
-    first = np.lexsort((s, of))[:n]
-    return s[first[of[first] > 1]]
-
-
-def rare_groups(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """hub (a shingle), node, component, n_shingles: nodes (node, component) by those of their rarest shingles that several components have."""
-    held = nodes.join(texts, "node").select("node", "component", "text")
-    often = nodes.sparkSession.sparkContext.broadcast(frequencies(held, size))  # CELLS numbers
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in ragged.chunks(batch.column(2), table=ragged.LOWER):
+            for c in ragged.chunks(batch.column(3), table=ragged.LOWER):
                 sets = shingles.sets(c, size)
-                first = [prefix(s, often.value, percent) for s in sets]
-                row = pa.array(np.repeat(np.arange(c.lo, c.hi), [len(f) for f in first]))
-                total = pa.array(np.repeat([len(s) for s in sets], [len(f) for f in first]), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), total], names=["hub", "node", "component", "n_shingles"])
-
-    spread = store.keep(held.mapInArrow(make, "hub long, node long, component long, n_shingles long"), "rare-shingles")
-    several = spread.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("lo <> hi")
-    # shingles of the same nodes are one group
-    several = several.groupBy("n", "who").agg(F.min("hub").alias("hub")).select("hub", "n")
-    return store.keep(spread.join(several, "hub"), "rare-groups")
-
-
-def settle(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+                long = [len(s) for s in sets]
+                row = pa.array(np.repeat(np.arange(c.lo, c.hi), long))
+                own = [batch.column(k).take(row) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *own, pa.array(np.repeat(long, long), pa.int64())], names=["hub", "node", "component", "text_id", "n_shingles"])
+
+    held = nodes.join(texts, "node").select("node", "component", F.xxhash64("text").alias("text_id"), "text")
+    every = store.keep(held.mapInArrow(spread, "hub long, node long, component long, text_id long, n_shingles long"), "all-shingles")
+    often = every.groupBy("hub").agg(F.count("*").alias("often")).where("often > 1")
+    again = every.join(often, "hub")
+    mine = Window.partitionBy("node", "text_id")
+    alone = F.col("n_shingles") - F.count("*").over(mine)
+    last = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100).cast("long") + 1
+    again = again.withColumn("at", alone + F.row_number().over(mine.orderBy("often", "hub"))).where(F.col("at") <= last).drop("often", "text_id")
+    again = store.keep(again, "rare-shingles")
+    several = again.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("lo <> hi")
+    # shingles of the same nodes are one group, however many they share
+    met = again.join(several.select("hub", "n", "who"), "hub").groupBy("n", "who", "node", "component", "n_shingles").agg(F.min("at").alias("at"))
+    return store.keep(met.select(F.xxhash64("n", "who").alias("hub"), "node", "component", "n_shingles", "at", "n"), "rare-groups")
+
+
+def settle_rare(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) that join the components of nodes (node, component): of any two that are similar enough, or of others that join the same."""
     groups = rare_groups(nodes, texts, size, percent)
     few = groups.where(F.col("n") <= PAIRS)
-    b = few.select("hub", F.col("node").alias("node_b"), F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"))
-    # sets whose sizes differ too much can't be similar enough
-    alike = 100 * F.least("n_shingles", "n_b") >= percent * F.greatest("n_shingles", "n_b")
-    pairs = few.join(b, "hub").where((F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & alike)
+    b = few.select("hub", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n_shingles", "at")))
+    met = few.join(b, "hub").where((F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")))
+    # before the first that they share nothing is shared, so what is left bounds the intersection
+    first = met.groupBy("node", "node_b", "n_shingles", "n_shingles_b").agg(F.min("at").alias("at"), F.min("at_b").alias("at_b"))
+    most = F.least(F.col("n_shingles") - F.col("at"), F.col("n_shingles_b") - F.col("at_b")) + 1
+    pairs = first.where(100 * most >= percent * (F.col("n_shingles") + F.col("n_shingles_b") - most))
     pairs = store.keep(pairs.select(F.col("node").alias("hub"), F.col("node_b").alias("node")).distinct(), "rare-pairs")
-    return verify(pairs, texts, size, percent).unionByName(settle_blocks(groups.where(F.col("n") > PAIRS).select("hub", "node", "component"), texts, size, percent))
+    many = groups.where(F.col("n") > PAIRS).select("hub", "node", "component").distinct()
+    return verify(pairs, texts, size, percent).unionByName(settle_blocks(many, texts, size, percent))
+
+
+def settle(groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) that join the components among the nodes of each group (hub, node, component): small groups by blocks, large ones by rare shingles."""
+    # what the largest component doesn't hold, since its nodes never meet each other
+    sizes = groups.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg((F.sum("n") - F.max("n")).alias("n"))
+    sized = groups.join(sizes, "hub")
+    large = store.keep(sized.where(F.col("n") > FEW).select("node", "component").distinct(), "unsettled")
+    return settle_blocks(sized.where(F.col("n") <= FEW).select("hub", "node", "component"), texts, size, percent).unionByName(settle_rare(large, texts, size, percent))
 
 
 def settle_blocks(groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -298,8 +286,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     labelled = store.keep(named(stars, "node", "component"), "labelled")
     open_ = labelled.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("hub")
-    unsettled = labelled.join(open_, "hub", "left_semi").select("node", "component").distinct()
-    late = store.keep(settle(store.keep(unsettled, "unsettled"), texts, size, percent), "late-links")
+    groups = store.keep(labelled.join(open_, "hub", "left_semi").select("hub", "node", "component"), "open-groups")
+    late = store.keep(settle(groups, texts, size, percent), "late-links")
     if not late.isEmpty():
         found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late))
     class_of = named(nodes.select("cls", "node"), "node", "component_id").select("cls", "component_id")

@@ -589,7 +589,7 @@ def test_blocks_settle_what_stars_leave(spark, monkeypatch):
         nodes.append((i, " ".join(w)))
     texts = spark.createDataFrame(nodes, "node long, text string")
     monkeypatch.setattr(op10_min_max, "PAIRS", 3)
-    both = op10_min_max.settle(spark.createDataFrame([(i, i) for i, _ in nodes], "node long, component long"), texts, 3, 85)
+    both = op10_min_max.settle_rare(spark.createDataFrame([(i, i) for i, _ in nodes], "node long, component long"), texts, 3, 85)
     found = {x.node: x.component for x in op10_min_max.components(both).collect()}
     assert {i: found.get(i, i) for i, _ in nodes} == {i: c for i, (_, c) in brute_components(nodes, 3, 85).items()}
     groups = spark.createDataFrame([(-1, i, i) for i, _ in nodes], "hub long, node long, component long")
@@ -610,7 +610,8 @@ def test_blocks_settle_what_stars_leave(spark, monkeypatch):
     assert {i: found.get(i, i) for i, _ in nodes} == {i: joined if c in {root[k] for k in range(1, 20)} else c for i, c in root.items()}
 
 
-def test_pages_of_one_template_dont_meet(spark):
+def test_pages_of_one_template_dont_meet(spark, monkeypatch):
+    monkeypatch.setattr(op10_min_max, "FEW", 100)
     r = random.Random(21)
     template = prose(r, 150)
     pages = {n: [(i, f"{template} {prose(r, 50)}") for i in range(n)] for n in (150, 600)}
@@ -622,7 +623,7 @@ def test_pages_of_one_template_dont_meet(spark):
         unsettled = texts.selectExpr("node", "node AS component")
         groups = op10_min_max.rare_groups(unsettled, texts, 5, 80)
         counts[n] = (groups.count(), groups.where(f"n > {op10_min_max.PAIRS}").count())
-        links = {(x.u, x.v) for x in op10_min_max.settle(unsettled, texts, 5, 80).collect()}
+        links = {(x.u, x.v) for x in op10_min_max.settle(unsettled.selectExpr("-1L AS hub", "*"), texts, 5, 80).collect()}
         assert {tuple(sorted(x)) for x in links} == {(i, n + i) for i in range(10)}
     # what meets are the ten twins, however many pages there are
     assert counts[600][1] == counts[150][1] == 0 and counts[600][0] <= 2 * counts[150][0]
