@@ -67,9 +67,14 @@ def token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.token_features(bindings.instructions(spark, sf_dir))
 
 
-def _token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ins = bindings.instructions(spark, sf_dir)
-    features = tables.keep(profiles.token_features(ins), "features")
+def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(instructions, their token features), both written once."""
+    ins = tables.keep(bindings.instructions(spark, sf_dir), "instructions")
+    return ins, tables.keep(profiles.token_features(ins), "features")
+
+
+def _token_search(spark: SparkSession, sf_dir: str, given: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    ins, features = given or _features(spark, sf_dir)
     return retrieval.top_k(profiles.token_profiles(bindings.sizes(ins), features), retrieval.TOKEN, TOP, digits=9)
 
 
@@ -133,16 +138,6 @@ degrees AS (
 """
 
 
-@query("WITH " + ROLES + """
-SELECT id, CAST(0 AS INTEGER) AS kind, n_instructions || ':' || i || ':' || o || ':' || CASE last_flow WHEN 'conditional_branch' THEN 'conditional' WHEN 'local_jump' THEN 'jump' WHEN 'external_jump' THEN 'jump' ELSE last_flow END || ':' || (i = 0)::VARCHAR || ':' || (o = 0)::VARCHAR AS key, count(*) AS n FROM degrees GROUP BY ALL
-UNION ALL SELECT id, 1, kind, count(*) FROM edg GROUP BY ALL
-UNION ALL SELECT id, 2, i || ':' || o, count(*) FROM degrees GROUP BY ALL""")
-def cfg_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tables.keep(_blocks(spark, sf_dir)[1], "blocks")
-    # the digests of refined labels are checked in tests
-    return profiles.cfg_features(found, bodies.cfg_edges(found)).where("kind < 3")
-
-
 COMPOSITE_SCORE = """
 SELECT 'composite' AS view, s AS source, t AS target, round((2 * least(a.n, b.n)::DOUBLE / greatest(a.n, b.n) + least(a.k, b.k)::DOUBLE / greatest(a.k, b.k) + j) / 5, 9) AS score
 FROM (SELECT s, t, sum(j) AS j FROM jac WHERE kind < 2 GROUP BY s, t) JOIN shape a ON a.id = s JOIN shape b ON b.id = t"""
@@ -150,9 +145,9 @@ SHAPE = "shape AS (SELECT i.id, i.n, k FROM (SELECT id, count(*) AS n FROM ins G
 BOTH = BLOCKS.rstrip() + "," + TOKENS[len(bindings.INSTRUCTIONS.rstrip()) + 1 :].rstrip() + "," + PAIRED.rstrip() + "," + SHAPE
 
 
-def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ins, found = _blocks(spark, sf_dir)
-    features = tables.keep(profiles.token_features(ins), "features")
+def _composite(spark: SparkSession, sf_dir: str, given: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    ins, features = given or _features(spark, sf_dir)
+    found = bodies.blocks(ins, bindings.sizes(ins))
     shape = bindings.sizes(ins).join(found.groupBy("id").agg(F.count("*").alias("block_count")), "id").withColumn("instruction_count", F.col("size"))
     return retrieval.top_k(profiles.cheap_profiles(shape, features), retrieval.COMPOSITE, TOP, digits=9)
 
@@ -168,7 +163,8 @@ per AS (SELECT least(source, target) AS first, greatest(source, target) AS secon
 SELECT first, second, count(*)::INTEGER AS n_views, string_agg(view || '_top_k', ',' ORDER BY view) AS reasons, max(score) AS best, min(rank) AS best_rank FROM per GROUP BY ALL HAVING count(*) >= 2""")
 def view_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that both the token and the composite view choose."""
-    both = retrieval.unite(_token_search(spark, sf_dir), _composite(spark, sf_dir))
+    given = _features(spark, sf_dir)
+    both = retrieval.unite(_token_search(spark, sf_dir, given), _composite(spark, sf_dir, given))
     chosen = retrieval.consensus(both, 2)
     found = F.map_values("views")
     return chosen.select("first", "second", F.size("views").alias("n_views"), F.array_join("reasons", ",").alias("reasons"), F.round(F.array_max(F.transform(found, lambda x: x["score"])), 6).alias("best"), F.array_min(F.transform(found, lambda x: x["rank"])).alias("best_rank"))
@@ -177,11 +173,11 @@ def view_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def multiview_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token, composite and control-flow views united; tests hold each view against a plain one."""
-    ins, found = _blocks(spark, sf_dir)
-    found = tables.keep(found, "blocks")
+    given = ins, _ = _features(spark, sf_dir)
+    found = tables.keep(bodies.blocks(ins, bindings.sizes(ins)), "blocks")
     edges = tables.keep(bodies.cfg_edges(found), "edges")
     shapes = retrieval.top_k(profiles.cfg_profiles(bindings.sizes(ins), found, edges, profiles.cfg_features(found, edges)), retrieval.CFG, TOP, digits=9)
-    both = retrieval.unite(_token_search(spark, sf_dir), _composite(spark, sf_dir), shapes)
+    both = retrieval.unite(_token_search(spark, sf_dir, given), _composite(spark, sf_dir, given), shapes)
     return both.select("first", "second", F.size("views").alias("n_views"), F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -219,12 +215,6 @@ def _clusters_sql(k: int) -> str:
     return f"SELECT {k} AS round, 'C' || dense_rank() OVER (ORDER BY least_id) AS cluster, id FROM (SELECT id, min(id) OVER (PARTITION BY c) AS least_id FROM r{k} WHERE is_member)"
 
 
-@query("WITH " + COLOURS.rstrip() + "," + _round(1) + "," + _round(2) + " " + " UNION ALL ".join(_clusters_sql(k) for k in range(3)))
-def colour_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rounds of refinement; fixpoints are checked in tests."""
-    return graph.clusters(graph.refine(*bindings.relation(spark, sf_dir), rounds=2))
-
-
 @query("WITH " + bindings.RELATION + """,
 named AS (SELECT id, coalesce(anchor, role) AS c FROM nodes)
 SELECT coalesce(o.id, i.id) AS id, o.s AS out_signature, i.s AS in_signature FROM
@@ -726,11 +716,19 @@ def set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hub", F.col("s_suppkey").alias("other"), F.size(F.array_intersect("a", "b")).alias("common"), F.round(S.set_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(S.ratio(F.size("a"), F.size("b")), 6).alias("ratio"))
 
 
-@query()
+@query("""
+WITH n AS (SELECT page_id, 'x' || regexp_replace(regexp_extract(coalesce(url, ''), '://([^/.]+)', 1), '[^a-z0-9]', '_', 'g') AS h, page_id % 4 AS k FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN h || '::page::get' WHEN 1 THEN h || '::Page::get' WHEN 2 THEN '<' || h || '::Page as core::Clone>::get' ELSE 'web::impl_for=' || h || '::Page::get' END AS canonical_origin, CASE k WHEN 3 THEN 'web' ELSE h END AS owner FROM n""")
 def name_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical origin and owner of names made from page addresses; tests hold the rules against literal cases."""
-    host = F.regexp_extract("url", "://([^/.]+)", 1)
-    name = F.concat(F.lit("<"), F.regexp_replace(host, "[^a-z0-9]", "_"), F.lit("::Page<T> as core::Clone>::get::<u8>::h0123456789abcdef"))
+    """Canonical origin and owner of names made from page addresses; tests hold the rules against more cases."""
+    host = F.concat(F.lit("x"), F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/.]+)", 1), "[^a-z0-9]", "_"))
+    k, end = F.col("page_id") % 4, F.lit("::h0123456789abcdef")
+    name = (
+        F.when(k == 0, F.concat(host, F.lit("::page::get"), end))
+        .when(k == 1, F.concat(host, F.lit("::Page<u8, Vec<T>>::get::<u8>"), end))
+        .when(k == 2, F.concat(F.lit("<"), host, F.lit("::Page<T> as core::Clone>::get::<u8>"), end))
+        .otherwise(F.concat(F.lit("web::<impl core::Clone for "), host, F.lit("::Page<T>>::get")))
+    )
     rows = tables.read(spark, sf_dir, "pages").select("page_id", name.alias("name"))
     return rows.select("page_id", names.canonical_origin(F.col("name")).alias("canonical_origin"), names.symbol_owner(F.col("name")).alias("owner"))
 
