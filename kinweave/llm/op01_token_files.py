@@ -1,12 +1,11 @@
 """Operator 1: token files with Elias-Fano document boundaries.
 
-Documents are encoded with the tokenizers library, then range-partitioned and sorted by doc_id as ids, which take two
-bytes a token, and written as shards: one array of ids of the narrowest width that holds the vocabulary, and two
-Elias-Fano lists, the doc_ids and the document boundaries in that array. An Elias-Fano list of n values up to u
-takes about n * (2 + log2(u / n)) bits; sampled select answers "where does document i start" from it. The reader
+Documents are range-partitioned and sorted by doc_id, encoded with the tokenizers library and written
+as shards: one array of ids of the narrowest width that holds the vocabulary, and two Elias-Fano lists,
+the doc_ids and the document boundaries in that array. An Elias-Fano list of n values up to u takes about n * (2 + log2(u / n)) bits; sampled select answers "where does document i start" from it. The reader
 walks over a shard by windows of the select structure, EVERY documents at a time, and expands no list; the writer
-holds the lengths of its own shard's documents only. Shards are at most ``shard_tokens`` long (one document may
-exceed it), so that memory is bounded on either side.
+holds the lengths of its own shard's documents only. A shard is closed once it holds ``shard_tokens`` ids, with less
+than as many again or one document beyond, so that memory is bounded on either side.
 
 Defined results: a null text is an empty document (its end id alone); empty tables give no shard and no
 row; repeated rows and equal doc_ids are documents of their own, in an order of their texts' digests; rows without a
@@ -22,7 +21,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,22 +190,6 @@ def encode_chunk(c: ragged.Chunk, path: str, end_id: int | None) -> tuple[np.nda
     return out, sizes + tail
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (of the text), ids (as bytes of the narrowest width) of each row, in the shared folder."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in ragged.chunks(batch.column(2)):
-                flat, n = encode_chunk(c, tokenizer, end_id)
-                ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n))) * flat.itemsize
-                ids = pa.Array.from_buffers(pa.large_binary(), c.n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[c.lo : c.hi], batch.column(1)[c.lo : c.hi], ids], names=["doc_id", "digest", "ids"])
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    return store.keep(rows.mapInArrow(encode, "doc_id long, digest long, ids binary"), "token-ids")
-
-
 def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the shards of docs to uri, a folder that all executors reach, and returns their manifest.
 
@@ -216,7 +198,6 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = np.dtype(library(tokenizer)[2].dtype)
         task = TaskContext.get()
         doc_ids, counts, ids, held, made = [], [], [], 0, 0
 
@@ -231,26 +212,21 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
             return out
 
         for batch in batches:
-            size = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) // dtype.itemsize
-            ends = np.cumsum(size)
-            lo = 0
-            while lo < batch.num_rows:
-                # as many as fill the shard, one at least
-                done = ends[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, done + shard_tokens - held, "right")))
-                some = batch.slice(lo, hi - lo)
-                doc_ids.append(some.column(0).drop_null().to_numpy())
-                counts.append(size[lo:hi])
-                ids.append(np.frombuffer(b"".join(some.column(1).to_pylist()), dtype))
-                held += int(size[lo:hi].sum())
-                lo = hi
-                if held >= shard_tokens or lo < batch.num_rows:
+            for c in ragged.chunks(batch.column(1), min(4 << 20, shard_tokens)):
+                flat, n = encode_chunk(c, tokenizer, end_id)
+                doc_ids.append(batch.column(0)[c.lo : c.hi].drop_null().to_numpy())
+                counts.append(n)
+                ids.append(flat)
+                held += len(flat)
+                if held >= shard_tokens:
                     yield flush()
         if counts:
             yield flush()
 
     last = F.col("doc_id").asc_nulls_last()
-    ordered = encode_documents(docs, tokenizer, end_id, id_col, text_col).repartitionByRange(last, "digest").sortWithinPartitions(last, "digest", "ids").select("doc_id", "ids")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    ordered = rows.repartitionByRange(last, "digest").sortWithinPartitions(last, "digest", "text").select("doc_id", "text")
     manifest = ordered.mapInArrow(write, "shard string, n_docs long, n_tokens long, n_bytes long")
     return store.keep(manifest, "token-manifest")
 
