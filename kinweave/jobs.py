@@ -24,6 +24,7 @@ from kinweave.sources import artifacts, payloads
 
 COMPLETED, SKIPPED, UNAVAILABLE, REFUSED = "completed", "skipped", "unavailable", "budget-refused"
 VIEWS = ("token", "cfg", "relation")
+ALL_VIEWS = (*VIEWS, "composite")
 #: Tables that may not depend on labels.
 LABEL_BLIND = ("functions", "bodies", "groups", "call_edges", "multi", "consensus2", "consensus3", "families", "final")
 
@@ -55,6 +56,13 @@ class Run:
         self.sure.add(name)
         return df
 
+    def told(self, stage: str) -> dict[str, Any]:
+        """What the last run of a stage recorded."""
+        found = [s for s in self.stages if s["stage"] == stage]
+        if not found:
+            raise validate.Invalid(f"this run has no stage {stage}")
+        return found[-1]
+
     def tell(self, stage: str, status: str, **what) -> dict[str, Any]:
         self.stages.append({"stage": stage, "status": status, **what})
         return self.stages[-1]
@@ -95,24 +103,30 @@ def discover(run: Run, sources: list[DataFrame], transfers: DataFrame, possible:
     root = None if entry is None else discovery.choose_root(merged, entry)
     known = nodes.join(quality.select("id", F.col("complete_decode")), "id", "left").select("address", "complete_decode")
     classified = run.write("functions", discovery.classify(nodes.drop("id"), known, root).withColumn("id", S.function_id(F.col("address"))))
-    run.write("abstentions", discovery.abstentions(classified))
+    abstained = run.write("abstentions", discovery.abstentions(classified))
     by_id = edges.select(S.function_id(F.col("src")).alias("src"), S.function_id(F.col("dst")).alias("dst"), "count")
     status = discovery.relation_status(classified, by_id)
     visible = run.write("call_edges", discovery.visible_edges(by_id, status))
     placed = status.where(F.col("relation_status").isin("member", "context")).select("id", (F.col("relation_status") == "member").alias("is_member"), F.col("colour").alias("anchor"))
     placed = run.write("nodes", placed)
     colours = graph.refine(placed, visible)
-    run.write("groups", graph.clusters(colours))
+    groups = run.write("groups", graph.clusters(colours))
     last = colours.agg(F.max("round")).first()[0]
     run.write("signatures", graph.signatures(visible, colours.where(F.col("round") == last)))
     counts = {r["role"]: r["n"] for r in classified.groupBy("role").agg(F.count("*").alias("n")).collect()}
-    run.tell("discovery", COMPLETED, root=root, **counts)
+    # a block's label is its place in the body and tells nothing
+    payloads.stage_tables(classified, resolved, run.read("bodies").drop("blocks"), visible, groups, placed, abstained)
+    core = payloads.core_digest(run.digests["instructions"], None if root is None else str(root), classified, visible, groups, abstained)
+    run.tell("discovery", COMPLETED, root=root, core_sha256=core, **counts)
 
 
 def retrieve(run: Run, k: int = 16, views: tuple[str, ...] = VIEWS) -> None:
-    """Tables multi, consensus3, consensus2: one search a view, united and annotated once, and what three or two views agree on."""
-    if not set(views) <= set(VIEWS) or not views:
-        raise ValueError(f"views are some of {', '.join(VIEWS)}")
+    """Tables multi, consensus3, consensus2: one search a view, united and annotated once, and what three or two views agree on.
+
+    With fewer views than that all of them must agree. The stage records a manifest of each queue.
+    """
+    if not set(views) <= set(ALL_VIEWS) or not views:
+        raise ValueError(f"views are some of {', '.join(ALL_VIEWS)}")
     bodies = run.read("bodies")
     ids = bodies.where("complete_decode").select("id")
     ins = run.read("instructions").join(ids, "id", "left_semi")
@@ -126,13 +140,20 @@ def retrieve(run: Run, k: int = 16, views: tuple[str, ...] = VIEWS) -> None:
     if "relation" in views:
         anchors = run.read("nodes").where("NOT is_member AND anchor IS NOT NULL").select("id", F.col("anchor").alias("colour"))
         found.append(retrieval.top_k(profiles.relation_profiles(ids, groups, run.read("call_edges"), anchors), retrieval.RELATION, k))
+    if "composite" in views:
+        sizes = run.read("functions").join(ids, "id", "left_semi").select("id", "size").join(run.read("bodies").select("id", F.size("instructions").alias("instruction_count"), F.size("blocks").alias("block_count")), "id")
+        found.append(retrieval.top_k(profiles.cheap_profiles(sizes, profiles.token_features(ins)), retrieval.COMPOSITE, k))
     last = groups.agg(F.max("round")).first()[0]
     multi = run.write("multi", retrieval.annotate(retrieval.unite(*found), groups, run.read("signatures"), last or 0))
     validate.assert_none(validate.candidate_faults(multi, bodies, views, k), "candidates")
-    sizes = {"multi": multi.count()}
+    who = payloads.subject(run.digests["instructions"])
+    evidence = {"subject_sha256": run.digests["instructions"], "body_sha256": run.digests["bodies"]}
+    of = lambda table, name, **rule: payloads.queue_manifest(table, bodies, k, views, who, evidence, payloads.relation_summary(groups), sha256=run.digests[name], **rule)
+    queues = {"multi": of(multi, "multi")}
     for n in (3, 2):
-        sizes[f"consensus{n}"] = run.write(f"consensus{n}", retrieval.consensus(multi, min(n, len(views)))).count()
-    run.tell("retrieval", COMPLETED, **sizes)
+        name, agreed = f"consensus{n}", min(n, len(views))
+        queues[name] = of(run.write(name, retrieval.consensus(multi, agreed)), name, minimum_views=agreed, source=queues["multi"]["pairs_sha256"])
+    run.tell("retrieval", COMPLETED, queues=queues, **{name: q["pair_count"] for name, q in queues.items()})
 
 
 def budget(run: Run, policy: S.PairPolicy) -> str:
@@ -198,6 +219,8 @@ def relax(run: Run, policy: S.PairPolicy) -> str:
     """Tables relaxed_decisions, relaxed_accounting, relaxed_strict and relaxed_rescued of one priced set of pairs."""
     final = run.read("final") if "final" in run.digests else None
     status, out, price = relaxed.build(run.read("families"), run.read("consensus2"), run.read("bodies"), policy, similarity.features, final)
+    queues = run.told("retrieval")["queues"]
+    payloads.check_queue(queues["multi"], queues["consensus2"], min(2, len(queues["multi"]["config"]["views"])))
     names = {"decisions": "relaxed_decisions", "accounting": "relaxed_accounting", relaxed.STRICT: "relaxed_strict", relaxed.RESCUED: "relaxed_rescued"}
     counts = {}
     for key, table in out.items():
@@ -218,17 +241,30 @@ def propagate(run: Run, raw: DataFrame, partition: str = "strict") -> None:
     run.tell("propagation", COMPLETED, **labels.opportunity(direct, fams, given, rows, run.read("bodies").select("id")).first().asDict())
 
 
-def evaluate(run: Run, truth: DataFrame, neutral: DataFrame | None = None) -> DataFrame:
-    """One row a method: pair confusion of strict, rescued and relaxed groups against truth (origin, id)."""
+def evaluate(run: Run, truth: DataFrame, neutral: DataFrame | None = None, linkage: DataFrame | None = None, outside: DataFrame | None = None) -> DataFrame:
+    """One row a method: pair confusion of relation groups (v0), strict, rescued and relaxed ones against truth (origin, id).
+
+    neutral or linkage: what can't be judged, as scoring.pair_confusion() takes it; outside: groups of another engine (group,
+    id) in place of the run's own relation groups.
+    """
     universe = run.read("bodies").select("id")
     strict = run.read("families")
-    tables = {"strict": scoring.pair_confusion(strict.select(F.col("family_id").alias("group"), "id"), truth, universe, neutral)}
+    if outside is None:
+        groups = run.read("groups")
+        last = groups.agg(F.max("round")).first()[0]
+        outside = groups.where(F.col("round") == last).select(F.col("cluster").alias("group"), "id")
+    count = lambda predicted: scoring.pair_confusion(predicted, truth, universe, neutral, linkage)
+    tables = {"v0": count(outside), "strict": count(strict.select(F.col("family_id").alias("group"), "id"))}
+    cores = {"relaxed": ("relaxed_strict", relaxed.strict_cores(strict))}
     if "final" in run.digests:
-        rest = strict.join(run.read("final").select("id"), "id", "left_anti").select(F.col("family_id").alias("group"), "id")
-        tables["rescued"] = scoring.pair_confusion(run.read("final").select(F.col("family_id").alias("group"), "id").unionByName(rest), truth, universe, neutral)
-    columns = ["scored_member_count", "true_positive", "false_positive", "false_negative", "true_negative", "precision", "recall", "f1"]
-    if "relaxed_strict" in run.digests:
-        tables["relaxed"] = relaxed.variant_score(run.read("relaxed_strict"), relaxed.strict_cores(strict), truth, universe)
+        final = run.read("final")
+        rest = strict.join(final.select("id"), "id", "left_anti").select(F.col("family_id").alias("group"), "id")
+        tables["rescued"] = count(final.select(F.col("family_id").alias("group"), "id").unionByName(rest))
+        cores["rescue-relaxed"] = ("relaxed_rescued", relaxed.rescued_cores(final))
+    columns = ["scored_member_count", "true_positive", "false_positive", "false_negative", "true_negative", "precision", "recall", "f1", "neutral_pair_total"]
+    for method, (name, core) in cores.items():
+        if name in run.digests:
+            tables[method] = relaxed.variant_score(run.read(name), core, truth, universe).withColumn("neutral_pair_total", F.lit(0).cast("long"))
     return run.write("scores", scoring.methods(**{k: t.select(*columns) for k, t in tables.items()}))
 
 
@@ -238,25 +274,44 @@ def evaluate_catalog(run: Run, catalog: DataFrame, aliases: DataFrame) -> DataFr
     return run.write("catalog_scores", scoring.catalog_scores(catalog, aliases, decoded(run.read("direct")), decoded(run.read("propagated"))))
 
 
-def replay(run: Run, policy: S.PairPolicy, root: str, truth: Callable[[], DataFrame]) -> tuple[Run, DataFrame | None]:
-    """Relaxed predictions of a run's families, written and published before truth() is read, then scored.
-
-    The predictions are made twice; that the two differ is an error.
-    """
-    def predict(where: str) -> Run:
-        made = Run(run.spark, where)
-        for name in ("families", "consensus2", "bodies", *(["final"] if "final" in run.digests else [])):
-            made.write(name, run.read(name))
+def predict(run: Run, policy: S.PairPolicy, root: str) -> Run:
+    """Relaxed predictions from a run's families, published in a run of their own; made twice, and an error if the two differ."""
+    def once(where: str) -> Run:
+        made = Run(run.spark, where, stages=[s for s in run.stages if s["stage"] in ("retrieval", "strict")])
+        for name in ("families", "consensus2", "bodies", "groups", *(["final"] if "final" in run.digests else [])):
+            if made.write(name, run.read(name)) and made.digests[name] != run.digests[name]:
+                raise validate.Invalid(f"{name} changed while it was copied")
         relax(made, policy)
         made.publish(truth_opened=False)
         return made
 
-    first, second = predict(f"{root}/predictions"), predict(f"{root}/rebuilt")
-    own = [n for n in first.digests if n.startswith("relaxed")]
-    validate.assert_agreement("predictions and their rebuild", first.digests, second.digests, tuple(own))
-    if "relaxed_strict" not in first.digests:
-        return first, None
-    return first, evaluate(Run.load(run.spark, first.root), truth())
+    first, second = once(f"{root}/predictions"), once(f"{root}/rebuilt")
+    validate.assert_agreement("predictions and their rebuild", first.digests, second.digests, tuple(n for n in first.digests if n.startswith("relaxed")))
+    return first
+
+
+def replay(runs: dict[str, Run], policy: S.PairPolicy, root: str, truths: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """Scores by method over several subjects. The predictions of all are made and published before any truth is opened."""
+    if set(runs) != set(truths):
+        raise ValueError("each run needs a truth")
+    for subject, run in runs.items():
+        predict(run, policy, f"{root}/{subject}")
+    reports = None
+    for subject in runs:
+        made = Run.load(runs[subject].spark, f"{root}/{subject}/predictions")
+        rows = evaluate(made, truths[subject]()).withColumn("subject", F.lit(subject))
+        made.publish(truth_opened=True)
+        reports = rows if reports is None else reports.unionByName(rows)
+    return scoring.micro(reports)
+
+
+def dry_price(run: Run, policy: S.PairPolicy) -> dict[str, Any]:
+    """What relax() would compare and cost; nothing is compared or written to the run."""
+    strict = run.read("families")
+    cores = {relaxed.STRICT: relaxed.strict_cores(strict)} | ({relaxed.RESCUED: relaxed.rescued_cores(run.read("final"))} if "final" in run.digests else {})
+    possible, bodies = relaxed.possible_pairs(run.read("consensus2"), strict, cores), run.read("bodies")
+    lengths = bodies.select("id", F.size("instructions").cast("long").alias("n"))
+    return grouping.price(possible.select("first", "second").distinct(), lengths, grouping.usable(bodies, policy), policy).first().asDict()
 
 
 def analyze(run: Run, policy: S.PairPolicy, inputs: dict[str, Any], raw_labels: DataFrame | None = None, k: int = 16, component_budgeted: bool = False) -> dict[str, Any]:
@@ -281,32 +336,73 @@ def analyze(run: Run, policy: S.PairPolicy, inputs: dict[str, Any], raw_labels:
     return run.publish(command={"top_k": k, "component_budgeted": component_budgeted}, execution={"duration_seconds": round(time.perf_counter() - began, 3)})
 
 
+def verify_label_blind(run: Run, policy: S.PairPolicy, inputs: dict[str, Any], **how) -> dict[str, Any]:
+    """Runs all stages again without labels; an error if a table that may not depend on labels comes out differently."""
+    again = analyze(Run(run.spark, f"{run.root.rstrip('/')}/blind"), policy, inputs, None, **how)
+    mine = run.manifest()["label_blind"]
+    validate.assert_agreement("runs with and without labels", mine, again["label_blind"], tuple(sorted(set(mine) | set(again["label_blind"]))))
+    return again
+
+
+def inputs_of(spark: SparkSession, folder: str, sources: list[str], entry: int | None) -> dict[str, Any]:
+    """The arguments of discover() from Parquet tables in a folder; sources: names of the tables of functions, the first source first."""
+    table = lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return {"sources": [table(s) for s in sources], **{n: table(n) for n in ("transfers", "possible", "seen", "decoded", "bytes_read")}, "entry": entry}
+
+
 def main(argv: list[str] | None = None) -> int:
     """One job over a run's folder; 2 if a budget refuses it."""
     parser = argparse.ArgumentParser(description=main.__doc__)
-    parser.add_argument("job", choices=("retrieve", "budget", "group", "rescue", "relax", "propagate", "evaluate"))
-    parser.add_argument("root")
+    parser.add_argument("job", choices=("analyze", "discover", "retrieve", "budget", "group", "rescue", "dry-price", "relax", "propagate", "evaluate", "evaluate-catalog", "predict"))
+    parser.add_argument("root", help="the run's folder")
+    parser.add_argument("--inputs", help="folder of the tables that discovery reads")
+    parser.add_argument("--sources", default="functions", help="tables of functions, by commas, the first source first")
+    parser.add_argument("--entry", type=lambda x: int(x, 0))
     parser.add_argument("--top-k", type=int, default=16)
+    parser.add_argument("--views", default=",".join(VIEWS), help=f"some of {','.join(ALL_VIEWS)}")
     parser.add_argument("--queue", default="consensus3")
-    parser.add_argument("--table", help="Parquet of raw labels (propagate) or truth (evaluate)")
+    parser.add_argument("--component-budgeted", action="store_true")
+    parser.add_argument("--partition", choices=("strict", "rescued"), default="strict")
+    parser.add_argument("--table", help="Parquet of raw labels (analyze, propagate), truth (evaluate) or a catalog (evaluate-catalog)")
+    parser.add_argument("--aliases", help="Parquet of a catalog's aliases")
+    parser.add_argument("--linkage", help="Parquet of a linkage audit")
+    parser.add_argument("--no-labels", action="store_true")
+    parser.add_argument("--verify-label-blind", action="store_true")
+    parser.add_argument("--out", help="folder of predictions")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    run, policy = Run.load(spark, args.root), S.PairPolicy()
-    status: Any = None
-    if args.job == "retrieve":
-        retrieve(run, args.top_k)
-    elif args.job == "budget":
-        budget(run, policy)
-    elif args.job == "group":
-        status = group(run, policy, args.queue)
-    elif args.job == "rescue":
-        rescue(run)
-    elif args.job == "relax":
-        status = relax(run, policy)
-    else:
-        {"propagate": propagate, "evaluate": evaluate}[args.job](run, spark.read.parquet(args.table))
+    policy = S.PairPolicy()
+    table = lambda path: spark.read.parquet(path) if path else None
+    if args.job in ("analyze", "discover"):
+        run, inputs = Run(spark, args.root), inputs_of(spark, args.inputs, args.sources.split(","), args.entry)
+        if args.job == "discover":
+            discover(run, **inputs)
+            run.publish()
+            return 0
+        how = {"k": args.top_k, "component_budgeted": args.component_budgeted}
+        made = analyze(run, policy, inputs, None if args.no_labels else table(args.table), **how)
+        if args.verify_label_blind:
+            verify_label_blind(run, policy, inputs, **how)
+        return 2 if any(s["status"] == REFUSED for s in made["stages"]) else 0
+    run = Run.load(spark, args.root)
+    if args.job == "dry-price":
+        price = dry_price(run, policy)
+        print(json.dumps(price, default=str))
+        return 0 if price["within_budget"] else 2
+    if args.job == "predict":
+        return 2 if predict(run, policy, args.out).told("relaxed")["status"] == REFUSED else 0
+    status = {
+        "retrieve": lambda: retrieve(run, args.top_k, tuple(args.views.split(","))),
+        "budget": lambda: budget(run, policy),
+        "group": lambda: group(run, policy, args.queue),
+        "rescue": lambda: rescue(run),
+        "relax": lambda: relax(run, policy),
+        "propagate": lambda: propagate(run, table(args.table), args.partition),
+        "evaluate": lambda: evaluate(run, table(args.table), linkage=table(args.linkage)),
+        "evaluate-catalog": lambda: evaluate_catalog(run, table(args.table), table(args.aliases)),
+    }[args.job]()
     run.publish()
-    return 2 if status == REFUSED else 0
+    return 2 if isinstance(status, str) and status == REFUSED else 0
 
 
 if __name__ == "__main__":

@@ -25,13 +25,35 @@ def _pairs_of(n: str):
     return F.expr(f"{n} * ({n} - 1) div 2")
 
 
-def pair_confusion(predicted: DataFrame, truth: DataFrame, universe: DataFrame, neutral: DataFrame | None = None) -> DataFrame:
+def _with_neutral_members(rows: DataFrame, linkage: DataFrame, universe: DataFrame) -> DataFrame:
+    """One row: how many pairs have an end that can't be judged, in all, by label, and inside groups, origins and both.
+
+    In a cell of n members, m of which can be judged, these are n (n - 1) / 2 - m (m - 1) / 2 pairs, so none is made.
+    """
+    ids = linkage.join(universe.select("id").distinct(), "id", "left_semi").select("id")
+    held = ids.join(neutral_members(linkage, universe), "id", "left").join(rows.select("id", "group", "origin"), "id", "left")
+
+    def pairs(name: str, *keys: str) -> DataFrame:
+        n = held.dropna(subset=list(keys)) if keys else held
+        n = n.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("label") == "ambiguous", F.lit(True))).alias("r"), F.count_if(F.col("label").isNull()).alias("m"))
+        gone = lambda a, b, to: F.coalesce(F.sum(_pairs_of(a) - _pairs_of(b)), F.lit(0)).alias(to)
+        return n.agg(gone("n", "m", name), *([] if keys else [gone("n", "r", "_munresolved"), gone("r", "m", "_mambiguous")]))
+
+    return pairs("_mall").crossJoin(pairs("_mtp", "group", "origin")).crossJoin(pairs("_mpred", "group")).crossJoin(pairs("_mtrue", "origin"))
+
+
+def pair_confusion(predicted: DataFrame, truth: DataFrame, universe: DataFrame, neutral: DataFrame | None = None, linkage: DataFrame | None = None) -> DataFrame:
     """One row: true and false positives and negatives over pairs, precision, recall, F1, of disjoint groups.
 
     predicted: group, id; truth: origin, id (one origin an id); universe: id; neutral: first, second, label. Pairs inside a
     group are n (n - 1) / 2; pairs right in both are the same sum over (group, origin); neutral pairs are looked up and
-    taken out of each count. So the work grows with members, not with pairs.
+    taken out of each count. So the work grows with members, not with pairs. linkage (id, identities, origins) in place of
+    neutral gives the counts of all_neutral_pairs() without making the pairs of ids that can't be judged.
     """
+    if linkage is not None:
+        if neutral is not None:
+            raise ValueError("neutral pairs or a linkage, not both")
+        neutral = neutral_pairs(linkage, universe)
     scored = truth.select("origin", "id").join(universe.select("id").distinct(), "id", "left_semi")
     rows = scored.join(predicted.select("group", "id"), "id", "left")
     both = rows.where("group IS NOT NULL").groupBy("group", "origin").agg(F.count("*").alias("n"))
@@ -45,6 +67,10 @@ def pair_confusion(predicted: DataFrame, truth: DataFrame, universe: DataFrame,
         ends = kept.join(rows.select(F.col("id").alias("first"), F.col("group").alias("_g1"), F.col("origin").alias("_o1")), "first", "left").join(rows.select(F.col("id").alias("second"), F.col("group").alias("_g2"), F.col("origin").alias("_o2")), "second", "left")
         g, o = F.coalesce(F.col("_g1") == F.col("_g2"), F.lit(False)), F.coalesce(F.col("_o1") == F.col("_o2"), F.lit(False))
         row = row.crossJoin(ends.agg(F.count_if(g & o).alias("_ntp"), F.count_if(g).alias("_npred"), F.count_if(o).alias("_ntrue"), F.count("*").alias("neutral_pair_total"), *(F.count_if(F.col("label") == x).alias(f"{x}_neutral") for x in NEUTRAL)))
+    if linkage is not None:
+        row = row.crossJoin(_with_neutral_members(rows, linkage, universe))
+        more = {"_ntp": "_mtp", "_npred": "_mpred", "_ntrue": "_mtrue", "neutral_pair_total": "_mall", "unresolved_neutral": "_munresolved", "ambiguous_neutral": "_mambiguous"}
+        row = row.withColumns({k: F.col(k) + F.col(m) for k, m in more.items()})
     tp = F.col("_tp") - F.col("_ntp")
     row = row.withColumn("true_positive", tp).withColumn("false_positive", F.col("_pred") - F.col("_npred") - tp).withColumn("false_negative", F.col("_true") - F.col("_ntrue") - tp)
     everything = _pairs_of("scored_member_count") - F.col("neutral_pair_total")

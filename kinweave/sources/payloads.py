@@ -5,6 +5,10 @@ Tables stay tables; what is kept in a run's manifest is their digests and counts
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,9 @@ SHOWN = {
     "core": ("id", "address", "kind", "size", "boundary_source", "analysis_status", "grouping_role", "relation_status", "quality", "external_identity"),
 }
 
+#: A digest as manifests write it.
+_SHA256 = re.compile("[0-9a-f]{64}")
+
 
 def project(functions: DataFrame, stage: str) -> DataFrame:
     """The columns that a stage may show, in their fixed order; those that functions lack are left out."""
@@ -75,13 +82,16 @@ def relation_summary(groups: DataFrame) -> dict[str, int]:
     return {"rounds": row["rounds"], "final_round": row["final_round"], "final_group_count": last, "prior_round_count": max(row["rounds"] - 1, 0)}
 
 
-def queue_manifest(pairs: DataFrame, bodies: DataFrame, k: int, views: tuple[str, ...], who: dict[str, str], provenance: dict, relation: dict | None = None, minimum_views: int | None = None, source: str | None = None) -> dict:
-    """The manifest of a candidate queue: settings, counts and digests. A queue derived from another names it and its rule."""
+def queue_manifest(pairs: DataFrame, bodies: DataFrame, k: int, views: tuple[str, ...], who: dict[str, str], provenance: dict, relation: dict | None = None, minimum_views: int | None = None, source: str | None = None, sha256: str | None = None) -> dict:
+    """The manifest of a candidate queue: settings, counts and digests. A queue derived from another names it and its rule.
+
+    sha256: the digest of pairs, where it is known.
+    """
     validate.assert_none(validate.duplicates(pairs, "first", "second"), "repeated pair")
     n = bodies.agg(F.count("*").alias("n"), F.count_if("complete_decode").alias("c")).first()
     out = {
         "artifact": "candidate-queue", **who, "config": {"top_k": k, "view_top_k": dict.fromkeys(views, k), "views": list(views)}, "provenance": dict(provenance),
-        "universe": {"target_count": n["n"], "complete_body_count": n["c"]}, "pair_count": pairs.count(), "pairs_sha256": artifacts.table_digest(pairs),
+        "universe": {"target_count": n["n"], "complete_body_count": n["c"]}, "pair_count": pairs.count(), "pairs_sha256": sha256 or artifacts.table_digest(pairs),
     }
     if relation is not None:
         out["relation"] = relation
@@ -99,6 +109,40 @@ def check_queue(families: dict, queue: dict, minimum_views: int) -> None:
     validate.assert_agreement("families' and queue's provenance", families["provenance"], queue["provenance"], ("subject_sha256", "body_sha256"))
 
 
+def check_audit(audit: Mapping[str, Any], run: Mapping[str, Any], truth: Mapping[str, Any], truth_sha256: str) -> None:
+    """A linkage audit must have been made from this truth and for this run's subject.
+
+    The truth's digest and case, build and profile must be in the audit. Digests of binaries need not; one of the binary
+    with symbols counts for nothing if the truth has none. What the run or the truth doesn't record isn't compared.
+    """
+    made_from, known = audit.get("provenance") or {}, truth.get("provenance") or {}
+    digests = {
+        "ground_truth_sha256": (truth_sha256,),
+        "stripped_sha256": ((run.get("binary") or {}).get("sha256"), known.get("stripped_sha256")),
+        "non_stripped_sha256": (known.get("non_stripped_sha256"),),
+    }
+    names = {k: (truth.get(k), run.get(k)) for k in ("case", "build", "profile")}
+    own = {**{k: made_from.get(k) for k in digests}, **{k: audit.get(k) for k in names}}
+    absent = [k for k in ("ground_truth_sha256", *names) if own[k] is None]
+    if absent:
+        raise validate.Invalid(f"the audit doesn't record {', '.join(absent)}")
+    said = {k: v for k, v in own.items() if v is not None}
+    if odd := [k for k in digests if k in said and not _SHA256.fullmatch(str(said[k]))] or [k for k in ("truth",) if not _SHA256.fullmatch(truth_sha256)]:
+        raise validate.Invalid(f"not a digest: {', '.join(odd)}")
+    if "non_stripped_sha256" in said and known.get("non_stripped_sha256") is None:
+        raise validate.Invalid("the truth doesn't record non_stripped_sha256, the audit does")
+    if odd := [k for k, others in (digests | names).items() if k in said and any(o is not None and o != said[k] for o in others)]:
+        raise validate.Invalid(f"the audit is of another {', '.join(odd)}")
+
+
+def outside_groups(groups: DataFrame, abstained: DataFrame, universe: DataFrame) -> DataFrame:
+    """group, id of another engine's result; an error if its members and abstentions (id) aren't the universe (id)."""
+    seen = groups.select("id").union(abstained.select("id")).distinct().withColumn("_s", F.lit(True))
+    both = seen.join(universe.select("id").distinct().withColumn("_u", F.lit(True)), "id", "full_outer")
+    validate.assert_none(both.where("_s IS NULL OR _u IS NULL").select("id", F.when(F.col("_u").isNull(), "not in the universe").otherwise("not in the result").alias("fault")), "another engine's groups")
+    return groups.select("group", "id")
+
+
 def partition_rows(given) -> list[tuple[str, str]]:
     """(family_id, id) of a partition given as {family: members}, [{"id", "members"}] or lists of members; every family has two or more, no member two families."""
     if hasattr(given, "items"):
