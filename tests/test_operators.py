@@ -661,3 +661,10 @@ def test_streams(spark, tmp_path):
     assert got == {("2024-01-01 00:00:00", "click"): 2, ("2024-01-01 00:10:00", "view"): 1}
     edges = windows.edge_counts(table.select("ts", F.lit(1).alias("source"), F.lit(2).alias("target")), "1 hour", "1 hour")
     assert edges.first()["count"] == 3
+
+
+def test_classes_of_immediates_at_the_bound(spark):
+    """body_evidence.py of the reference classes by the size of a number, whatever its sign."""
+    numbers = ("-1048575", "-1048576", "1048575", "0x100000")
+    got = one(spark, c=F.array(*(S.normalize_operand(F.lit(t), F.lit("immediate"), F.lit(None).cast("int"), F.lit("MOV")) for t in numbers)))
+    assert got["c"] == ["imm_small", "imm_address_like", "imm_small", "imm_address_like"]
