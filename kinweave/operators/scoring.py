@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import scalars as S
+from kinweave.sources import tables
+
+#: Classes of ids in a tile of count_pairs().
+TILE = 4096
 
 NEUTRAL = ("duplicate", "ambiguous", "unresolved")
 
@@ -86,11 +90,46 @@ def ratios(counts: DataFrame) -> DataFrame:
 
 
 def overlapping_pairs(groups: DataFrame) -> DataFrame:
-    """first, second of all pairs inside groups that may overlap. For small groups only: it makes the pairs."""
+    """first, second of all pairs inside groups that may overlap. For small groups only: it makes the pairs, which count_pairs() does not."""
     a, b = groups.select("group", F.col("id").alias("first")), groups.select("group", F.col("id").alias("second"))
     return a.join(b, "group").where("first < second").select("first", "second").distinct()
 
 
+def count_pairs(groups: DataFrame, name: str) -> DataFrame:
+    """One row: how many pairs of ids are together in any group (group, id); groups may overlap, and no pair is made.
+
+    Of n ids in a group, m of which are in others as well, n (n - 1) / 2 - m (m - 1) / 2 pairs are together nowhere
+    else. Ids of the same several groups are a class, and two classes count in the least group that they share. So
+    only classes meet, in tiles of a bounded number of them.
+    """
+    sets = groups.where("group IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.array_sort(F.collect_set("group")).alias("set"))
+    classes = tables.keep(sets.groupBy("set").agg(F.count("*").alias("n")), "pair-classes")
+    several = F.size("set") > 1
+    spread = classes.select(F.explode("set").alias("group"), "set", "n")
+    size = spread.groupBy("group").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(several, F.col("n"))), F.lit(0)).alias("m"), F.count_if(several).alias("_c"))
+    total = lambda d, x, to: d.agg(F.coalesce(F.sum(x), F.lit(0)).alias(to))
+    tiled = spread.where(several).join(size.select("group", F.ceil(F.col("_c") / TILE).alias("_tiles")), "group")
+    tile, others = F.pmod(F.xxhash64("set"), F.col("_tiles")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1))
+    a = tables.spread(tiled.select("group", tile.alias("_a"), others.alias("_b"), F.col("set").alias("_s"), F.col("n").alias("_n")), "group", "_a", "_b")
+    b = tables.spread(tiled.select("group", others.alias("_a"), tile.alias("_b"), F.col("set").alias("_t"), F.col("n").alias("_m")), "group", "_a", "_b")
+    met = a.join(b, ["group", "_a", "_b"]).where("_s < _t").where(F.array_min(F.array_intersect("_s", "_t")) == F.col("group"))
+    row = total(size, _pairs_of("n") - _pairs_of("m"), "_own").crossJoin(total(classes.where(several), _pairs_of("n"), "_same")).crossJoin(total(met, F.col("_n") * F.col("_m"), "_met"))
+    return row.select((F.col("_own") + F.col("_same") + F.col("_met")).alias(name))
+
+
+def overlapping_confusion(predicted: DataFrame, truth: DataFrame, n_scored: int) -> DataFrame:
+    """pair_sets() of the pairs of groups (group, id) that may overlap on either side, without making them.
+
+    A pair is together in a group of either side if it is in a group of both, so these count like groups.
+    """
+    both = predicted.select("group", "id").join(truth.select(F.col("group").alias("_t"), "id"), "id").where("group IS NOT NULL AND _t IS NOT NULL")
+    row = count_pairs(both.select(F.struct("group", "_t").alias("group"), "id"), "true_positive")
+    row = row.crossJoin(count_pairs(predicted, "_p")).crossJoin(count_pairs(truth, "_t"))
+    row = row.select("true_positive", (F.col("_p") - F.col("true_positive")).alias("false_positive"), (F.col("_t") - F.col("true_positive")).alias("false_negative"))
+    rest = F.lit(n_scored * (n_scored - 1) // 2) - F.col("true_positive") - F.col("false_positive") - F.col("false_negative")
+    return ratios(row.withColumn("true_negative", F.greatest(rest, F.lit(0))))
+
+
 def pair_sets(predicted: DataFrame, truth: DataFrame, n_scored: int, neutral: DataFrame | None = None) -> DataFrame:
     """pair_confusion for given sets of pairs (first, second), by set operations."""
     if neutral is not None:

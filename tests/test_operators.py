@@ -668,3 +668,17 @@ def test_classes_of_immediates_at_the_bound(spark):
     numbers = ("-1048575", "-1048576", "1048575", "0x100000")
     got = one(spark, c=F.array(*(S.normalize_operand(F.lit(t), F.lit("immediate"), F.lit(None).cast("int"), F.lit("MOV")) for t in numbers)))
     assert got["c"] == ["imm_small", "imm_address_like", "imm_small", "imm_address_like"]
+
+
+def test_overlapping_groups_are_counted_without_their_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    some = [(g, i) for i in range(60) for g in rng.sample(range(6), rng.choice((1, 1, 2, 3)))] + [(0, 3), (0, 3), (None, 5), (2, None)]
+    more = [(i // 9, i) for i in range(60)] + [(99, 7), (99, 50)]
+    p, t = (spark.createDataFrame(x, "group long, id long") for x in (some, more))
+    monkeypatch.setattr(scoring, "TILE", 3)
+    columns = ("true_positive", "false_positive", "false_negative", "true_negative", "precision", "recall", "f1")
+    assert scoring.overlapping_confusion(p, t, 60).select(*columns).first() == scoring.pair_sets(scoring.overlapping_pairs(p), scoring.overlapping_pairs(t), 60).select(*columns).first()
+    # two groups of the same 200,000 ids: 19,999,900,000 pairs
+    large = spark.range(200_000).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("group"), "id")
+    got = scoring.overlapping_confusion(large, large.where("group = 0"), 200_000).first()
+    assert (got.true_positive, got.false_positive, got.false_negative) == (200_000 * 199_999 // 2, 0, 0)
